@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import op9_mixing
+from .simhash import op3_simhash
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
