@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import op9_mixing
+from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op3_simhash
+from .token_counts import op4_token_counts
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash": op3_simhash,
+    "op4_token_counts": op4_token_counts,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
