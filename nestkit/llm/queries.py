@@ -7,11 +7,13 @@ from .mixing import op9_mixing
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op3_simhash
 from .token_counts import op4_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
