@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .lang_id import op5_lang_id
 from .mixing import op9_mixing
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op3_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_lang_id": op5_lang_id,
     "op6_toxicity": op6_toxicity,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
