@@ -9,9 +9,11 @@ from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op3_simhash
 from .token_counts import op4_token_counts
 from .toxicity import op6_toxicity
+from .transport_stream import op2_transport_stream
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_transport_stream": op2_transport_stream,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_lang_id": op5_lang_id,
