@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .lang_id import op5_lang_id
 from .mixing import op9_mixing
+from .pii import op7_pii
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op3_simhash
 from .token_counts import op4_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_lang_id": op5_lang_id,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
