@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .lang_id import op5_lang_id
+from .line_dedup import op8_line_dedup
 from .mixing import op9_mixing
 from .pii import op7_pii
 from .sentencepiece_codec import op1_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_lang_id": op5_lang_id,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
+    "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
