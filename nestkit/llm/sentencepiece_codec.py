@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches, table
 from .pieces import DEFAULT_MODEL, SPACE, UNK_PENALTY, Pieces
@@ -192,9 +194,24 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return source.mapInArrow(_runner(pieces, decode), schema).withColumnRenamed("id", id_col)
 
 
+def encode_columns(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
+    """docs with n_tokens and ids of each text, without a join: rows keep all their columns (those of these two names
+    are replaced)."""
+    small_batches(docs.sparkSession)
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+
+    @F.pandas_udf("array<int>")
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = Codec(pieces.value)
+        for texts in batches:
+            ids, at = codec.encode(texts.tolist())
+            yield pd.Series([ids[a:b] for a, b in zip(at, at[1:])], dtype="object")
+
+    found = docs.withColumn("ids", ids_of(F.col(text_col)))
+    return found.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, and the SHA-256 and length in bytes of what they decode to."""
-    from pyspark.sql import functions as F
-
     found = encode(table(spark, sf_dir, "documents"), decode=True)
     return found.select("doc_id", "n_tokens", "ids", F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
