@@ -14,16 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, table
 
-SAMPLE = 10_000
+SAMPLE = 8_000
 FEATURES = 2_000
 #: A feature needs this much evidence (log-likelihood ratio) and this many documents.
 EVIDENCE, LEAST_DOCS = 10.0, 3
-PENALTY, SWAP_PENALTY = 1e-4, 10.0
+PENALTY, SWAP_PENALTY, STEPS = 1e-4, 10.0, 400
 REMEMBERED = 300_000
 STRIP = ".,;:!?\"'()[]{}<>*&%$#|~`“”„«»…-–—"
 #: Neutral names of groups; a term is swapped for the next of its line.
@@ -79,77 +80,104 @@ class Model:
         return float(1 / (1 + np.exp(-min(35.0, max(-35.0, z)))))
 
 
-def fit(words: list[set[str]], swapped: list[set[str] | None], labels: np.ndarray) -> Model:
-    """words: of each text; swapped: the words after the swap, or None where nothing was swapped."""
-    y = np.asarray(labels, np.float64)
-    n, pos = len(y), float(np.sum(labels))
+def _blocks(vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, str]]:
+    """Features of the words of a vocabulary, by kind: the feature of each word (-1: none), their texts, their mark.
+    The same features as word_features(), without a Python object for each."""
+    lengths = pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False)
+    yield np.arange(len(vocabulary)), vocabulary, "="
+    for k in (4, 5, 6):
+        short = pc.utf8_slice_codeunits(vocabulary, 0, k).dictionary_encode()
+        yield np.where(lengths > k, short.indices.to_numpy(zero_copy_only=False), -1), short.dictionary, "^"
+
+
+def _flat(column: pa.ChunkedArray, encoded: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and word number of each word of a column of lists, and the words; with encoded, numbers in that vocabulary."""
+    rows = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    words = rows.flatten()
+    if encoded is None:
+        words = words.dictionary_encode()
+        return np.repeat(np.arange(len(rows)), sizes), words.indices.to_numpy(zero_copy_only=False), words.dictionary
+    return np.repeat(np.arange(len(rows)), sizes), pc.fill_null(pc.index_in(words, encoded), -1).to_numpy(zero_copy_only=False), encoded
+
+
+def fit(rows: pa.Table) -> Model:
+    """rows: words (of each text, once), swapped (the words after the swap; null where nothing was swapped), label."""
+    y = rows["label"].to_numpy().astype(np.float64)
+    n, pos = len(y), float(y.sum())
     if not n or pos in (0.0, float(n)):
         return Model({}, 35.0 if n and pos else -35.0)
-    seen: dict[str, int] = {}
-    docs_of: list[np.ndarray] = []
-    memo: dict[str, list[int]] = {}
-    for ws in words:
-        ids: set[int] = set()
-        for w in ws:
-            f = memo.get(w)
-            if f is None:
-                f = memo[w] = [seen.setdefault(x, len(seen)) for x in word_features(w)]
-            ids.update(f)
-        docs_of.append(np.fromiter(ids, np.int64, len(ids)))
-    rows = np.repeat(np.arange(n), [len(d) for d in docs_of])
-    cols = np.concatenate(docs_of)
-    has = np.bincount(cols, minlength=len(seen)).astype(float)
-    both = np.bincount(cols, weights=y[rows], minlength=len(seen))
+    row, word, vocabulary = _flat(rows["words"])
+    moved = np.nonzero(rows["swapped"].is_valid().to_numpy())[0]
+    swap_row, swap_word, _ = _flat(rows["swapped"], vocabulary)
+    p = pos / n
 
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
 
-    p = pos / n
-    evidence = 2 * (part(both, has * p) + part(has - both, has * (1 - p)) + part(pos - both, (n - has) * p) + part(n - has - pos + both, (n - has) * (1 - p)))
-    names = np.array(list(seen))
-    good = np.nonzero((evidence >= EVIDENCE) & (has >= LEAST_DOCS))[0]
-    good = good[np.lexsort((names[good], -np.round(evidence[good], 6)))][:FEATURES]
-    terms = [seen[f] for w in SWAP for f in word_features(w) if f in seen]
-    chosen = np.array(sorted({*good.tolist(), *terms}), np.int64)
-    chosen = chosen[np.argsort(names[chosen])] if len(chosen) else chosen
-    slot = np.full(len(seen), -1)
-    slot[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen) + 1), np.float32)
+    identity = pc.is_in(vocabulary, pa.array(list(SWAP))).to_numpy(zero_copy_only=False)
+    found: list[tuple[float, str, np.ndarray, np.ndarray]] = []  # evidence, name, documents with it, documents with it after a swap
+    for of_word, texts, mark in _blocks(vocabulary):
+        f = of_word[word]
+        pairs = np.unique(f[f >= 0].astype(np.int64) * n + row[f >= 0])
+        feature, doc = pairs // n, pairs % n
+        has = np.bincount(feature, minlength=len(texts)).astype(float)
+        both = np.bincount(feature, weights=y[doc], minlength=len(texts))
+        evidence = 2 * (part(both, has * p) + part(has - both, has * (1 - p)) + part(pos - both, (n - has) * p) + part(n - has - pos + both, (n - has) * (1 - p)))
+        good = (evidence >= EVIDENCE) & (has >= LEAST_DOCS)
+        # Features of identity terms are always there, for the penalty to act on.
+        terms = of_word[identity]
+        forced = np.zeros(len(texts), bool)
+        forced[terms[terms >= 0]] = True
+        swap_f = np.where(swap_word >= 0, of_word[np.maximum(swap_word, 0)], -1)
+        best = np.nonzero(good)[0]
+        best = best[np.argsort(-evidence[best], kind="stable")][: FEATURES]
+        for i in sorted({*best.tolist(), *np.nonzero(forced)[0].tolist()}):
+            docs = doc[np.searchsorted(feature, i) : np.searchsorted(feature, i, "right")]
+            after = np.unique(swap_row[swap_f == i]) if len(moved) else np.zeros(0, int)
+            found.append((np.inf if forced[i] else round(float(evidence[i]), 6), mark + texts[i].as_py(), docs, after))
+    found.sort(key=lambda f: (-f[0], f[1]))
+    found = sorted((f for k, f in enumerate(found) if k < FEATURES or f[0] == np.inf), key=lambda f: f[1])
+    x = np.zeros((n, len(found) + 1), np.float32)
     x[:, -1] = 1
-    inside = slot[cols] >= 0
-    x[rows[inside], slot[cols[inside]]] = 1
-    moved = [i for i, s in enumerate(swapped) if s is not None]
-    change = np.zeros((len(moved), x.shape[1]), np.float32)
-    for k, i in enumerate(moved):
-        after = {slot[seen[f]] for w in swapped[i] for f in word_features(w) if f in seen}
-        change[k, [c for c in after if c >= 0]] += 1
-        change[k, :-1] -= x[i, :-1]
+    change = np.zeros((len(moved), len(found) + 1), np.float32)
+    for k, (_, _, docs, after) in enumerate(found):
+        x[docs, k] = 1
+        change[np.isin(moved, after), k] = 1
+    change[:, :-1] -= x[moved, :-1]
     # Accelerated gradient steps; the loss is convex and smooth.
     ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 0
     power = np.ones(x.shape[1])
     for _ in range(30):
-        power = x.T @ (x @ power) / (4 * n) + (SWAP_PENALTY * 2 * change.T @ (change @ power) / max(1, len(moved))) + ridge * power
-        top = np.linalg.norm(power)
+        power = x.T @ (x @ power.astype(np.float32)) / (4 * n) + ridge * power
+        if len(moved):
+            power = power + SWAP_PENALTY * 2 * change.T @ (change @ power.astype(np.float32)) / len(moved)
+        top = float(np.linalg.norm(power))
         power /= top
     w, v, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
-    for _ in range(600):
+    for _ in range(STEPS):
         miss = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32), -35, 35))) - y
         grad = x.T @ miss.astype(np.float32) / n + ridge * v
-        if moved:
-            grad = grad + SWAP_PENALTY * 2 * change.T @ (change @ v) / len(moved)
+        if len(moved):
+            grad = grad + SWAP_PENALTY * 2 * change.T @ (change @ v.astype(np.float32)) / len(moved)
         new = v - grad / (1.05 * top)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / nt * (new - w), new, nt
-    return Model({str(names[c]): float(w[k]) for k, c in enumerate(chosen)}, float(w[-1]))
+    return Model({name: float(w[k]) for k, (_, name, _, _) in enumerate(found)}, float(w[-1]))
+
+
+def labelled(texts: list[str | None], labels: list[int]) -> pa.Table:
+    """Rows for fit()."""
+    words = [words_of(t) for t in texts]
+    swapped = [sorted(swapped_words(t)) if not w.isdisjoint(SWAP) else None for t, w in zip(texts, words)]
+    return pa.table({"words": pa.array([sorted(w) for w in words], pa.list_(pa.string())), "swapped": pa.array(swapped, pa.list_(pa.string())), "label": pa.array(labels, pa.int32())})
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("text").to_pylist()
-        words = [words_of(t) for t in texts]
-        swapped = [sorted(swapped_words(t)) if not w.isdisjoint(SWAP) else None for t, w in zip(texts, words)]
-        yield pa.RecordBatch.from_arrays([pa.array([sorted(w) for w in words], pa.list_(pa.string())), pa.array(swapped, pa.list_(pa.string())), b.column("label")], ["words", "swapped", "label"])
+        found = labelled(b.column("text").to_pylist(), b.column("label").to_pylist()).append_column("h", b.column("h"))
+        yield from found.combine_chunks().to_batches()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -159,12 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.round(F.avg("y")).cast("int").alias("label"))
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(marks, "id")
-    picked = scratch.save(narrow.groupBy("h").agg(F.min(F.struct("id", "label")).alias("r")).orderBy("h").limit(sample).select("r.*"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("text", "label")
-    got = scratch.save(texts.mapInArrow(_words, "words array<string>, swapped array<string>, label int")).toArrow()
+    picked = scratch.save(narrow.groupBy("h").agg(F.min(F.struct("id", "label")).alias("r")).orderBy("h").limit(sample).select("r.*", "h"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").where(F.xxhash64("text") == F.col("h")).select("text", "label", "h")
+    got = scratch.save(texts.mapInArrow(_words, "words array<string>, swapped array<string>, label int, h long"))
     # In a fixed order, so that reruns agree.
-    rows = sorted(zip(got["words"].to_pylist(), got["swapped"].to_pylist(), got["label"].to_pylist()), key=lambda r: (r[0], r[2]))
-    return fit([set(r[0]) for r in rows], [None if r[1] is None else set(r[1]) for r in rows], np.array([r[2] for r in rows], float))
+    return fit(got.toArrow().sort_by([("h", "ascending"), ("label", "ascending")]))
 
 
 def scorer(docs: DataFrame, model: Model):
