@@ -1 +1 @@
-"""functions."""
+"""Column functions on JSON text."""

@@ -1 +1 @@
-"""sources."""
+"""Inputs: tables of a folder, and nested values built from them."""

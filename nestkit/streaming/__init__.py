@@ -1 +1 @@
-"""streaming."""
+"""Unrolling of streams."""
