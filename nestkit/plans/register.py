@@ -46,7 +46,7 @@ def definitions(strict: bool = False) -> dict[str, str]:
         "lay_jsonSafeGuards(str STRING)": f"replace(translate(str, {control}, {plain}), {_q(T.QUOTE_GUARD)}, {_q('\"' if strict else chr(92) + '\"')})",
         "map_jsonSafeGuards(jsn STRING, esc BOOLEAN)": f"array_join(transform(split({marked}, {_q(T.CUT)}), x -> if(startswith(x, {_q(T.QUOTED)}), {inside}, x)), '')",
     }
-    table = "SELECT cast(sum(g + length(s)) OVER (ORDER BY k) - length(s) + 1 AS INT) AS idx, s AS sub FROM (SELECT k, m.g AS g, m.s AS s FROM (SELECT posexplode(arrays_zip(transform(split(str, rgx), x -> length(x)) AS g, regexp_extract_all(str, rgx, 0) AS s)) AS (k, m)) WHERE m.s IS NOT NULL)"
+    table = "SELECT cast(sum(g + length(s)) OVER (ORDER BY k) - length(s) + 1 AS INT) AS idx, s AS sub FROM (SELECT k, m.`0` AS g, m.`1` AS s FROM (SELECT posexplode(arrays_zip(transform(split(str, rgx), x -> length(x)), regexp_extract_all(str, rgx, 0))) AS (k, m)) WHERE m.`1` IS NOT NULL)"
     out["get_characterIndices(str STRING, rgx STRING)"] = f"TABLE {table}"
     for n, scope in SCOPES.items():
         out[f"{n}_meta()"] = f"named_struct('scope', {_q(scope)}, 'version', '{VERSION}', 'repo', '{HOME}')"
