@@ -61,6 +61,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def small(self, df: DataFrame, limit: int = 16 << 20, of: DataFrame | None = None) -> DataFrame:
+        """A saved table, or rows of the saved table of, marked for broadcast only if the files are within the limit;
+        else Spark shuffles for it."""
+        fs, at = self._fs((df if of is None else of)._scratch_path)
+        return F.broadcast(df) if fs.getContentSummary(at).getLength() <= limit else df
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of this scratch that nothing reads any more."""
         fs, at = self._fs(df._scratch_path)

@@ -1,15 +1,16 @@
 """Repeated runs of lines, found with a suffix array over line numbers and deleted but for their first copy.
 
-The suffix array comes from distributed prefix doubling. A suffix starts with the rank of its line among all lines; a
-round sorts the suffixes that still tie by (own rank, rank of the suffix 2^k lines on) and so doubles the length that
-ranks tell apart. A round is a join, an aggregate to distinct pairs, and a range-partitioned sort of those pairs whose
-running counts give the new ranks; nothing is grouped by line, so a line that makes up much of the corpus is dealt over
-all tasks like the rest. Suffixes that no longer tie, or that have ended, drop out of the rounds.
+The suffix array comes from distributed prefix doubling. Lines that occur once cannot be part of a repeated run and are
+left out at the start. A suffix starts with the rank of its line; a round sorts the suffixes that still tie by (own rank,
+rank of the suffix 2^k lines on) and so doubles the length that ranks tell apart. A round is a join, an aggregate to
+distinct pairs, and a range-partitioned sort of those pairs, whose running counts give the new ranks; nothing is
+grouped by line, so a line that makes up much of the corpus is dealt over all tasks like the rest. Suffixes that no longer tie, or
+whose run meets the document's end or a line that occurs once, drop out of the rounds.
 
 Neighbours in the suffix array get their longest common prefix from the ranks of all rounds, from long to short. The
 intervals with a common prefix of at least MIN_LINES lines are the repeated runs. All of a run's copies but the first
-(by id, then line) are deleted. A single line counts as a run if it has LONG_WORDS words. Runs do not cross documents;
-blank lines are not part of the sequence and stay.
+(by id, then line) are deleted. A single line counts as a run if it has LONG_CHARS characters. Runs do not cross
+documents; blank lines are not part of the sequence and stay.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import Scratch, table
 
 #: Lines of the shortest run; a power of two.
 MIN_LINES = 2
-LONG_WORDS = 50
+LONG_CHARS = 200
+SPACES = " \t\n\x0b\f\r"
 KEY = ["d1", "d2"]
 
 
@@ -30,64 +32,72 @@ def _document(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("d1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("d2")]
 
 
-def _starts(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """groups (keys, c) with start: how many rows the groups before it hold, in the order of the keys."""
-    ranged = scratch.save(groups.repartitionByRange(*keys).withColumn("pid", F.spark_partition_id()))
-    # One row a partition.
-    sizes = ranged.groupBy("pid").agg(F.sum("c").alias("n")).orderBy("pid").collect()
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """pid, before: how much lies in the partitions before each; sizes (pid, n) has one row a partition."""
     offsets, total = [], 0
-    for pid, n in sizes:
+    for pid, n in sizes.orderBy("pid").collect():
         offsets.append((pid, total))
         total += n
-    before = groups.sparkSession.createDataFrame(offsets, "pid int, before long")
+    return F.broadcast(sizes.sparkSession.createDataFrame(offsets, "pid long, before long"))
+
+
+def _starts(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """groups (keys, c) with rank: how many rows the groups before it hold, in the order of the keys."""
+    ranged = scratch.save(groups.repartitionByRange(*keys).withColumn("pid", F.spark_partition_id().cast("long")))
     inside = F.sum("c").over(Window.partitionBy("pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "pid").withColumn("start", F.col("before") + F.col("inside")).drop("pid", "before", "inside")
+    before = _offsets(ranged.groupBy("pid").agg(F.sum("c").alias("n")))
+    return scratch.save(ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "pid").withColumn("rank", F.col("before") + F.col("inside")).drop("pid", "before", "inside"))
 
 
 def suffix_array(lines: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
-    """lines: d1, d2, id, idx, len (lines left in the document), h1, h2 (the line). Returns them with ranks (one for each
-    round the suffix took part in, the last one final; equal ranks of round k mean equal next 2^k lines), first (copies
-    of the line), run (rank that all copies of the next min_lines lines share) and copies (their number)."""
-    groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"))
-    named = scratch.save(lines.join(_starts(groups, ["h1", "h2"], scratch).withColumnRenamed("start", "rank"), ["h1", "h2"]).drop("h1", "h2"))
+    """lines: d1, d2, id, idx, len (lines left in the document), long, h1, h2 (the line). Returns those whose line
+    repeats, with rank (its place in the suffix array, equal for suffixes that end alike), ranks (of each round k in
+    which the next 2^k lines exist and only hold repeated lines; equal ranks mean equal lines), first (copies of the
+    line), run (the rank that all copies of the next min_lines lines share) and copies (their number)."""
+    groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
+    named = lines.join(scratch.small(_starts(groups, ["h1", "h2"], scratch)), ["h1", "h2"])
     one = min_lines == 1
-    now = named.select(
-        *KEY, "id", "idx", "len", "long", F.array("rank").alias("ranks"), F.col("c").alias("first"), (F.col("rank") if one else F.lit(None).cast("long")).alias("run"),
-        (F.col("c") if one else F.lit(0).cast("long")).alias("copies"), ((F.col("c") > 1) & (F.col("len") > 1)).alias("open"),
+    now = scratch.save(
+        named.select(
+            *KEY, "id", "idx", "len", "long", "rank", F.array("rank").alias("ranks"), F.col("c").alias("first"), (F.col("rank") if one else F.lit(None).cast("long")).alias("run"),
+            (F.col("c") if one else F.lit(0).cast("long")).alias("copies"), F.lit(True).alias("open"),
+        )
     )
     done, k = now.where("not open"), 0
     now = now.where("open")
     while now.limit(1).count():
         step = 1 << k
-        every = done.unionByName(now)
-        ahead = every.select(*KEY, (F.col("idx") - step).alias("idx"), F.element_at("ranks", -1).alias("r2"))
-        pairs = scratch.save(now.join(ahead, [*KEY, "idx"], "left").withColumn("r1", F.element_at("ranks", -1)).withColumn("r2", F.coalesce("r2", F.lit(-1))))
+        ahead = done.unionByName(now).select(*KEY, (F.col("idx") - step).alias("idx"), F.col("rank").alias("r2"), (F.size("ranks") == k + 1).alias("whole"))
+        pairs = now.withColumnRenamed("rank", "r1").join(ahead, [*KEY, "idx"], "left")
+        pairs = scratch.save(pairs.withColumn("r2", F.coalesce("r2", F.lit(-1))).withColumn("whole", F.coalesce("whole", F.lit(False))))
         groups = _starts(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")), ["r1", "r2"], scratch)
-        base = groups.groupBy("r1").agg(F.min("start").alias("base"))
-        groups = groups.join(base, "r1").select("r1", "r2", "c", (F.col("r1") + F.col("start") - F.col("base")).alias("rank"))
+        # A class of c suffixes owns c ranks from its own on, so ranks of different classes never meet.
+        base = groups.groupBy("r1").agg(F.min("rank").alias("base"))
+        groups = groups.join(base, "r1").select("r1", "r2", "c", (F.col("r1") + F.col("rank") - F.col("base")).alias("rank"))
         named = pairs.join(groups, ["r1", "r2"])
+        # A suffix that ends here takes part once more: it gets the class's first rank, before those that go on.
         here = step * 2 == min_lines
         named = scratch.save(
             named.select(
-                *KEY, "id", "idx", "len", "long", F.concat("ranks", F.array("rank")).alias("ranks"), "first", (F.col("rank") if here else F.col("run")).alias("run"),
-                (F.when(F.col("len") >= min_lines, F.col("c")).otherwise(0) if here else F.col("copies")).cast("long").alias("copies"),
-                ((F.col("c") > 1) & (F.col("len") > 2 * step)).alias("open"),
+                *KEY, "id", "idx", "len", "long", "rank", F.when(F.col("whole"), F.concat("ranks", F.array("rank"))).otherwise(F.col("ranks")).alias("ranks"), "first",
+                (F.when(F.col("whole"), F.col("rank")) if here else F.col("run")).alias("run"), (F.when(F.col("whole"), F.col("c")).otherwise(0) if here else F.col("copies")).cast("long").alias("copies"),
+                (F.col("whole") & (F.col("c") > 1)).alias("open"),
             )
         )
         scratch.drop(pairs)
         done, now, k = done.unionByName(named.where("not open")), named.where("open"), k + 1
-    return done
+    return done.drop("open")
 
 
 def _agree(a: str, b: str) -> Column:
     """How many of the first rounds' ranks agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    return F.coalesce(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)), F.lit(0))
 
 
 def longest_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     """d1, d2, idx, lines: the longest repeated run from each line on, where it has min_lines lines or more; from the
     common prefixes of neighbours in the suffix array."""
-    wanted = suffixes.where("copies > 1").select(*KEY, "id", "idx", "len", "ranks", "run").withColumn("rank", F.element_at("ranks", -1))
+    wanted = suffixes.where("copies > 1").select(*KEY, "id", "idx", "len", "rank", "ranks", "run")
     order = ["rank", "id", *KEY, "idx"]
     ranged = scratch.save(wanted.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()))
     row = F.struct(*[F.col(c) for c in (*KEY, "idx", "len", "ranks", "run")])
@@ -116,7 +126,8 @@ def longest_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
             break
         for side, name in (("a", "x"), ("b", "y")):
             ahead = suffixes.select(F.col("d1").alias(f"{side}_d1"), F.col("d2").alias(f"{side}_d2"), F.col("idx").alias("at"), F.col("ranks").alias(name))
-            now = now.withColumn("at", (F.col(f"{side}_idx") + F.col("lcp")).cast("int")).join(ahead, [f"{side}_d1", f"{side}_d2", "at"]).drop("at")
+            # A line that occurs once has no row: the prefix ends there.
+            now = now.withColumn("at", (F.col(f"{side}_idx") + F.col("lcp")).cast("int")).join(ahead, [f"{side}_d1", f"{side}_d2", "at"], "left").drop("at")
         pairs = now
     both = [finished.select(*[F.col(f"{s}_{c}").alias(c) for c in (*KEY, "idx")], "lcp") for s in "ab"]
     return both[0].unionByName(both[1]).groupBy(*KEY, "idx").agg(F.max("lcp").alias("lines"))
@@ -130,7 +141,7 @@ def _later(suffixes: DataFrame, name: str, length: int) -> DataFrame:
     return later.select(*KEY, F.explode(F.sequence("idx", F.col("idx") + (length - 1))).alias("idx"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
     """One row per row of docs: id, n_lines, n_deleted, longest_run (lines of the longest repeated run that starts in the
     document, 0 if none has min_lines), text without the later copies.
 
@@ -140,31 +151,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = source.select("id", "text", *_document("id", "text"))
-    content = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
+    content = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     each = keyed.where("text is not null").select(*KEY, "id", content.alias("ls")).select(*KEY, "id", F.size("ls").alias("n"), F.posexplode("ls").alias("idx", "line"))
-    words = F.regexp_count("line", F.lit(WORD)) if long_words else F.lit(0)
-    # A line shorter than so many characters cannot have the words; the count is then skipped.
-    lengthy = F.when(F.length("line") >= 2 * long_words - 1, words >= long_words).otherwise(F.lit(False)) if long_words else F.lit(False)
-    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), lengthy.alias("long"))
+    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.length("line") >= long_chars).alias("long"))
+    lines = scratch.save(lines)
     # Equal rows are one document: each place of it once.
-    repeated = scratch.save(keyed.groupBy(*KEY).count().where("count > 1").select(*KEY))
+    repeated = lines.where("idx = 0").groupBy(*KEY).count().where("count > 1").select(*KEY)
     if repeated.limit(1).count():
         lines = lines.join(repeated, KEY, "left_anti").unionByName(lines.join(repeated, KEY, "left_semi").dropDuplicates([*KEY, "idx"]))
-    suffixes = scratch.save(suffix_array(scratch.save(lines), scratch, min_lines).drop("open"))
+    suffixes = scratch.save(suffix_array(lines, scratch, min_lines))
     runs = longest_runs(suffixes, scratch).groupBy(*KEY).agg(F.max("lines").alias("longest"))
     gone = _later(suffixes.where("copies > 1"), "run", min_lines)
-    single = suffixes.where("long and first > 1").withColumn("line", F.element_at("ranks", 1))
+    single = suffixes.where("long").withColumn("line", F.element_at("ranks", 1))
     gone = gone.unionByName(_later(single, "line", 1)).distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list("idx")).alias("gone"))
     found = scratch.save(runs.join(gone, KEY, "full"))
-    out = keyed.join(found, KEY, "left").withColumn("all", F.split("text", "\n", -1))
-    # Places of the lines with content, then those of them that go.
-    out = out.withColumn("places", F.when(F.size("gone") > 0, F.expr(f"filter(transform(all, (x, i) -> if(x rlike '{WORD.replace(chr(92), chr(92) * 2)}', i, null)), i -> i is not null)")))
-    out = out.withColumn("cut", F.expr("transform(gone, g -> get(places, g))"))
-    kept = F.when(F.size("gone") > 0, F.expr("array_join(filter(all, (x, i) -> not array_contains(cut, i)), '\n')")).otherwise(F.col("text"))
+    # Small results go to the texts; else texts and results meet by document.
+    out = keyed.join(scratch.small(found), KEY, "left").withColumn("all", F.split("text", "\n", -1))
+    # ls: all lines; ps: places of those with content; then the places that stay. Each is bound once, and every step
+    # takes time in proportion to the lines.
+    filled = r"btrim(x, ' \t\n\u000b\f\r') != ''"
+    places = f"filter(transform(ls, (x, i) -> if({filled}, i, null)), i -> i is not null)"
+    stay = "array_except(sequence(0, size(ls) - 1), transform(gone, g -> get(ps, g)))"
+    body = f"element_at(transform(array({places}), ps -> array_join(transform({stay}, i -> get(ls, i)), '\n')), 1)"
+    kept = F.when(F.size("gone") > 0, F.expr(f"element_at(transform(array(split(text, '\n', -1)), ls -> {body}), 1)")).otherwise(F.col("text"))
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce(F.size("all"), F.lit(0)).alias("n_lines"),
