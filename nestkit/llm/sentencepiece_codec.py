@@ -9,6 +9,7 @@ kind BPE mask the arcs by the border test of Pieces, so the ids are those of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,9 @@ from .common import small_batches, table
 from .pieces import DEFAULT_MODEL, SPACE, UNK_PENALTY, Pieces
 
 BASE = np.uint64(0x5851F42D4C957F2D)
+TOP = np.uint64(46)
 #: Words that an encoder remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Words that advance together.
 TOGETHER = 8192
 
@@ -40,6 +42,9 @@ class Codec:
             self.by_length[n] = keys[order], ids[order]
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces share a hash")
+        #: Most substrings are no piece: a table of the keys' top bits tells so before the search.
+        self.maybe = {n: np.bincount((keys >> TOP).astype(np.int64), minlength=1 << 18) > 0 for n, (keys, _) in self.by_length.items()}
+        self.power = {n: np.uint64(pow(int(BASE), n, 1 << 64)) for n in self.by_length}
         self.least = float(pieces.scores[pieces.usable].min()) if len(pieces.usable) else 0.0
         surfaces = [t.replace(SPACE, " ").encode() for t in pieces.texts]
         if pieces.bytes_ is not None:
@@ -53,7 +58,6 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -63,66 +67,90 @@ class Codec:
             out[:, i + 1] = out[:, i] * BASE + codes[:, i] + np.uint64(1)
         return out
 
-    def _solve(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length."""
+    def _probe(self, sub: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which substrings of length k are pieces, and the pieces' ids."""
+        keys, ids = self.by_length[k]
+        rows = np.nonzero(self.maybe[k][(sub >> TOP).astype(np.int64)])[0]
+        sub = sub[rows]
+        at = np.minimum(np.searchsorted(keys, sub), len(keys) - 1)
+        hit = keys[at] == sub
+        return rows[hit], ids[at[hit]]
+
+    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one after another, and how many each has."""
         p, length, n = self.p, len(words[0]), len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length).astype(np.uint64)
-        hashes = self._prefix_hashes(codes)
-        best = np.full((n, length + 1), -np.inf, np.float32)
-        best[:, 0] = 0
-        back, last = np.zeros((n, length + 1), np.int32), np.full((n, length + 1), -1, np.int64)
-        power = {k: np.uint64(pow(int(BASE), k, 1 << 64)) for k in self.by_length}
+        # A row a position, so that a step touches neighbouring memory.
+        codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length).T.astype(np.uint64))
+        hashes = np.zeros((length + 1, n), np.uint64)
+        for i in range(length):
+            hashes[i + 1] = hashes[i] * BASE + codes[i] + np.uint64(1)
+        best = np.full((length + 1, n), -np.inf, np.float32)
+        best[0] = 0
+        back, last = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int64)
         for e in range(1, length + 1):
+            alone = np.ones(n, bool)
             # Longest first and strictly greater: of equal scores the longest last piece stays, as in the library.
             for k in sorted((k for k in self.by_length if k <= e), reverse=True):
                 s = e - k
-                keys, ids = self.by_length[k]
-                sub = hashes[:, e] - hashes[:, s] * power[k]
-                at = np.minimum(np.searchsorted(keys, sub), len(keys) - 1)
-                rows = np.nonzero((keys[at] == sub) & (last[:, s] >= (-1 if s == 0 else 0)))[0]
+                rows, found = self._probe(hashes[e] - hashes[s] * self.power[k], k)
+                if k == 1:
+                    alone[rows] = False
                 if not len(rows):
                     continue
-                found = ids[at[rows]]
                 if p.bpe:
-                    if s:
-                        ok = p.beside(last[rows, s], found)
+                    # One path is right, so a position that has its piece needs no other.
+                    open_ = best[e, rows] < 0
+                    rows, found = rows[open_], found[open_]
+                    if s and len(rows):
+                        ok = p.beside(last[s, rows], found)
                         rows, found = rows[ok], found[ok]
                     score = np.zeros(len(rows), np.float32)
                 else:
-                    score = best[rows, s] + p.scores[found]
-                more = score > best[rows, e]
+                    score = best[s, rows] + p.scores[found]
+                more = score > best[e, rows]
                 rows, found = rows[more], found[more]
-                best[rows, e], back[rows, e], last[rows, e] = score[more], s, found
+                best[e, rows], back[e, rows], last[e, rows] = score[more], s, found
             # A character that is no piece by itself is unknown.
-            alone = np.ones(n, bool)
-            if 1 in self.by_length:
-                keys, _ = self.by_length[1]
-                sub = hashes[:, e] - hashes[:, e - 1] * power[1]
-                alone = keys[np.minimum(np.searchsorted(keys, sub), len(keys) - 1)] != sub
             rows = np.nonzero(alone)[0]
-            score = np.zeros(len(rows), np.float32) if p.bpe else best[rows, e - 1] + np.float32(self.least - UNK_PENALTY)
-            more = score > best[rows, e]
-            rows = rows[more]
-            best[rows, e], back[rows, e], last[rows, e] = score[more], e - 1, p.size
-        out: list[list[int]] = [[] for _ in words]
-        if length == 0:
-            return [np.zeros(0, np.int32)] * n
-        return self._paths(words, back, last, out)
-
-    def _paths(self, words: list[str], back: np.ndarray, last: np.ndarray, out: list[list[int]]) -> list[np.ndarray]:
-        back_list, last_list, size, fallback = back.tolist(), last.tolist(), self.p.size, self.p.bytes_ is not None
-        for w, (word, b, t) in enumerate(zip(words, back_list, last_list)):
-            ids, e = out[w], len(word)
-            while e:
-                if t[e] == size:
-                    # A run of unknown characters is one unknown piece unless bytes stand in for it.
-                    if fallback or not (ids and ids[-1] == self.p.unk and e < len(word) and t[e + 1] == size):
-                        ids.extend(self.p.unknown(word[b[e] : e])[::-1])
-                else:
-                    ids.append(t[e])
-                e = b[e]
-            ids.reverse()
-        return [np.array(x, np.int32) for x in out]
+            if len(rows):
+                score = np.zeros(len(rows), np.float32) if p.bpe else best[e - 1, rows] + np.float32(self.least - UNK_PENALTY)
+                more = score > best[e, rows]
+                rows = rows[more]
+                best[e, rows], back[e, rows], last[e, rows] = score[more], e - 1, p.size
+        return self._paths(codes, back, last)
+
+    def _paths(self, codes: np.ndarray, back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follows the backpointers of all words together, from the end."""
+        size, fallback, n = self.p.size, self.p.bytes_ is not None, codes.shape[1]
+        rows, at, steps = np.arange(n), np.full(n, len(codes)), []
+        while len(rows):
+            token = last[at, rows]
+            # An unknown character is kept as a number above the vocabulary.
+            token = np.where(token == size, size + 1 + codes[at - 1, rows].astype(np.int64), token)
+            steps.append((rows, token))
+            at = back[at, rows]
+            go = at > 0
+            rows, at = rows[go], at[go]
+        sizes = np.bincount(np.concatenate([r for r, _ in steps]), minlength=n)
+        ends = np.cumsum(sizes)
+        flat = np.zeros(int(ends[-1]), np.int64)
+        for k, (r, token) in enumerate(steps):
+            flat[ends[r] - 1 - k] = token
+        unknown = flat > size
+        if unknown.any():
+            flat, sizes = self._expand(flat, sizes, unknown, fallback)
+        return flat.astype(np.int32), sizes
+
+    def _expand(self, flat: np.ndarray, sizes: np.ndarray, unknown: np.ndarray, fallback: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in place of unknown characters, or one unknown piece in place of a run of them."""
+        word, size = np.repeat(np.arange(len(sizes)), sizes), self.p.size
+        if fallback:
+            parts = [self.p.unknown(chr(t - size - 1)) if u else [t] for t, u in zip(flat.tolist(), unknown.tolist())]
+            counts = np.array([len(x) for x in parts])
+            return np.array([t for x in parts for t in x], np.int64), np.bincount(np.repeat(word, counts), minlength=len(sizes))
+        again = np.zeros(len(flat), bool)
+        again[1:] = unknown[1:] & unknown[:-1] & (word[1:] == word[:-1])
+        return np.where(unknown, self.p.unk, flat)[~again], np.bincount(word[~again], minlength=len(sizes))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (and the end)."""
@@ -130,23 +158,24 @@ class Codec:
             self._forget()
         words = [self.p.words(t) for t in texts]
         new: dict[int, list[str]] = {}
-        for w in {w for ws in words for w in ws}.difference(self.known):
+        for w in set().union(*words).difference(self.known):
             new.setdefault(len(w), []).append(w)
+        flats, sizes = [self.flat], [np.diff(self.at)]
         for group in new.values():
             wide = max(1, min(TOGETHER, (TOGETHER * 32) // max(1, len(group[0]))))
             for i in range(0, len(group), wide):
                 part = group[i : i + wide]
-                self.ids.extend(self._solve(part))
+                solved, counts = self._solve(part)
+                flats.append(solved)
+                sizes.append(counts)
                 self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
         if new:
-            self.at = np.concatenate(([0], np.cumsum([len(x) for x in self.ids])))
-            self.flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
-        known = self.known
-        index = np.fromiter((known[w] for ws in words for w in ws), np.int64)
+            self.flat, self.at = np.concatenate(flats), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
         sizes = self.at[index + 1] - self.at[index]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[_spread(self.at[index], sizes, ends)]
-        return ids, ends[np.concatenate(([0], np.cumsum([len(ws) for ws in words])))]
+        return ids, ends[np.concatenate(([0], np.cumsum(np.array([len(ws) for ws in words], np.int64))))]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """The texts of encode()'s ids; invalid UTF-8 becomes the replacement character."""
@@ -186,7 +215,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Other columns of docs are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000, "4m")
     pieces = spark.sparkContext.broadcast(Pieces.load(model))
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
