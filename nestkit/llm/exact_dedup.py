@@ -35,10 +35,14 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.sha2(F.col("t").cast("binary"), 256).alias("sha"),
         )
     )
-    lengths = narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
-    prefixes = narrow.join(lengths, "n", "left_semi").groupBy("n", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("n", "prefix")
-    groups = narrow.join(prefixes, ["n", "prefix"], "left_semi").groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("c")).where("c > 1")
-    marked = narrow.join(groups, "sha", "left")
+    # Copies collapse before they meet, and each level is a written table: it goes to the rows if its files are small, and
+    # else Spark can split the join where one key has much of the rows.
+    lengths = scratch.save(narrow.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"))
+    pairs = narrow.groupBy("n", "prefix").agg(F.count("*").alias("c")).where("c > 1")
+    prefixes = scratch.save(pairs.join(scratch.small(lengths), "n", "left_semi").select("n", "prefix"))
+    alike = narrow.join(scratch.small(prefixes), ["n", "prefix"], "left_semi")
+    groups = scratch.save(alike.groupBy("sha").agg(F.max("id").alias("keep"), F.count("*").alias("c")).where("c > 1"))
+    marked = narrow.join(scratch.small(groups), "sha", "left")
     keep = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("keep"))
     return marked.select(
         F.col("id").alias(id_col),
