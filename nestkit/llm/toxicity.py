@@ -148,11 +148,13 @@ def fit(rows: pa.Table) -> Model:
     # Accelerated gradient steps; the loss is convex and smooth.
     ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 0
-    power = np.ones(x.shape[1])
-    for _ in range(30):
-        power = x.T @ (x @ power.astype(np.float32)) / (4 * n) + ridge * power
+    # The steepest curvature, by power iteration from a start that no swap is orthogonal to.
+    power = np.random.default_rng(0).standard_normal(x.shape[1])
+    for _ in range(60):
+        at = power.astype(np.float32)
+        power = x.T @ (x @ at) / (4 * n) + ridge * power
         if len(moved):
-            power = power + SWAP_PENALTY * 2 * change.T @ (change @ power.astype(np.float32)) / len(moved)
+            power = power + SWAP_PENALTY * 2 * change.T @ (change @ at) / len(moved)
         top = float(np.linalg.norm(power))
         power /= top
     w, v, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
@@ -161,7 +163,7 @@ def fit(rows: pa.Table) -> Model:
         grad = x.T @ miss.astype(np.float32) / n + ridge * v
         if len(moved):
             grad = grad + SWAP_PENALTY * 2 * change.T @ (change @ v.astype(np.float32)) / len(moved)
-        new = v - grad / (1.05 * top)
+        new = v - grad / (1.1 * top)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / nt * (new - w), new, nt
     return Model({name: float(w[k]) for k, (_, name, _, _) in enumerate(found)}, float(w[-1]))
@@ -207,7 +209,8 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
+    column = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.crc32(column.cast("string").cast("binary")) % folds == fold
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
