@@ -56,14 +56,15 @@ def mark_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that mark_exact does not keep; all columns stay. Rows that repeat id and text leave one.
 
-    The ids to drop are a written table: Spark knows its size and broadcasts it only below its threshold.
+    The ids to drop are a written table, broadcast if its files are small, so that texts need not move; beyond that they
+    are shuffled to it.
     """
     scratch = Scratch(docs.sparkSession)
     marked = scratch.save(mark_exact(docs, id_col, text_col))
     # An id can carry several texts, so the digest is part of the key.
-    gone = scratch.save(marked.where("not kept").select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct())
-    sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
+    gone = scratch.save(marked.where("not kept").select(F.col(id_col).alias("_gone_id"), F.xxhash64("text_sha256").alias("_gone_sha")).distinct())
+    sha = F.xxhash64(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256))
+    out = docs.join(scratch.small(gone), docs[id_col].eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha")), "left_anti")
     repeated = marked.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1").limit(1).count()
     if repeated:
         out = out.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)).dropDuplicates([id_col, "_sha"]).drop("_sha")

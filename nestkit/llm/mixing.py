@@ -20,6 +20,8 @@ CAP = 2.0
 #: Up to this many documents of one source and size, the extra copies go to exact ranks; beyond it to hash thresholds,
 #: whose deviation is then below a percent.
 RANKED = 1000
+#: Hashes that order documents of one source and size are below this.
+SPAN = 1 << 52
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -42,7 +44,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
 def _solve(cells: DataFrame, state: DataFrame, scratch: Scratch, tolerance: float = 1e-9, most: int = 100) -> DataFrame:
     """Newton's iterations on the multipliers; state has one row a source."""
     for _ in range(most):
-        x = F.col("size") / F.col("mean")
+        x = F.try_divide("size", "mean")
         rate = F.when(F.col("lam") * x >= F.log(F.lit(CAP)), F.lit(CAP)).otherwise(F.exp(F.least(F.col("lam") * x, F.lit(1.0))))
         words = F.col("docs") * F.col("size")
         sums = (
@@ -65,27 +67,26 @@ def _solve(cells: DataFrame, state: DataFrame, scratch: Scratch, tolerance: floa
     return state
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """One row per row of docs: id, size (words), source_size, target (of its source), taken (words), rate, copies.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict:
+    """Expressions of a row's source (in code-point order, null last), size, and place among equals (52 bits)."""
+    return {
+        "skey": F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
+        "u": F.xxhash64(F.col(id_col), F.lit("copies")).bitwiseAND(F.lit(SPAN - 1)),
+    }
 
-    A null text has size 0, a null source is a source of its own and comes last. A document of size 0 has rate 1 and
-    one copy. Ties and repeated rows are told apart by rank only, so equal rows may get different copies; reruns give
-    the same counts. A source whose target is twice its size takes every document twice. An empty table gives an empty
-    result. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    # Code-point order of skey is that of the sources, null last.
-    skey = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    narrow = scratch.save(docs.select(F.col(id_col).alias("id"), skey.alias("skey"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+
+def plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows as id, skey, size, u; and for each source and size: source_size, target, rate, each (whole copies of
+    every document) and cut (documents with a smaller u take one more). Both are written tables."""
+    narrow = scratch.save(docs.select(F.col(id_col).alias("id"), *[e.alias(n) for n, e in _keyed(docs, id_col, text_col, source_col).items()]))
     cells = scratch.save(narrow.groupBy("skey", "size").agg(F.count("*").alias("docs")))
     words = F.col("size") * F.col("docs")
-    sources = cells.groupBy("skey").agg(
-        F.sum(words).alias("source_size"), (F.sum(words) / F.sum("docs")).alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), (F.sum(words * F.col("size")) / F.sum(words)).alias("heavy")
-    )
+    mean, heavy = F.sum(words) / F.sum("docs"), F.try_divide(F.sum(words * F.col("size")), F.sum(words))
+    sources = cells.groupBy("skey").agg(F.sum(words).alias("source_size"), mean.alias("mean"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), heavy.alias("heavy"))
     sources = scratch.save(sources)
     s = targets(sources.select("skey", "source_size"), weights, share).join(sources.drop("source_size"), "skey")
-    least, part = F.col("least") / F.col("mean"), F.log(F.col("target") / F.col("source_size"))
+    least, part = F.try_divide("least", "mean"), F.log(F.try_divide("target", "source_size"))
     full = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12)
     state = s.select(
         "skey", "source_size", "target", "mean",
@@ -96,7 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         (F.when(part > 0, F.log(F.lit(CAP)) / least).otherwise(F.lit(0.0)) + 1e-9).alias("hi"),
     )
     state = _solve(cells, scratch.save(state), scratch)
-    rate = F.when(F.col("lam") * F.col("size") / F.col("mean") >= F.log(F.lit(CAP)), F.lit(CAP)).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(1.0))))
+    tilt = F.col("lam") * F.try_divide("size", "mean")
+    rate = F.when(tilt >= F.log(F.lit(CAP)), F.lit(CAP)).otherwise(F.exp(F.least(tilt, F.lit(1.0))))
     rate = F.when((F.col("size") == 0) | F.col("lam").isNull(), F.lit(1.0)).when(F.col("target") >= CAP * F.col("source_size") * (1 - 1e-12), F.lit(CAP)).otherwise(rate)
     # Systematic rounding over the sizes of a source, largest first so that the small ones even out what is left: as
     # many rows as it has different sizes, not documents.
@@ -104,21 +106,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rated = cells.join(state, "skey").withColumn("rate", rate).withColumn("upto", F.floor(F.sum(F.col("docs") * F.col("rate")).over(along) + 0.5))
     total = F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))
     rated = rated.withColumn("total", F.greatest(F.lit(0), F.least(total, CAP * F.col("docs"))).cast("long"))
-    rated = rated.select("skey", "size", "docs", "source_size", "target", "rate", F.expr("total div docs").alias("each"), F.expr("total % docs").alias("rest"))
-    tagged = scratch.save(narrow.join(rated, ["skey", "size"]).withColumn("h", F.xxhash64("id", F.lit("copies"))))
-    ranked = (F.col("rest") > 0) & (F.col("docs") <= RANKED)
-    # At most RANKED rows share a window; the other rows go by the threshold, without a shuffle.
-    a = tagged.where(ranked).withColumn("more", (F.row_number().over(Window.partitionBy("skey", "size").orderBy("h", "id")) <= F.col("rest")).cast("long"))
-    b = tagged.where(~ranked).withColumn("more", (F.expr("(h & 4503599627370495) / 4503599627370496.0D") < F.col("rest") / F.col("docs")).cast("long"))
-    copies = F.col("each") + F.col("more")
-    return a.unionByName(b).select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "rate", copies.alias("copies"))
-
-
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it. Rows that repeat an id all take the id's largest number."""
-    copies = Scratch(docs.sparkSession).save(mix(docs, id_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").cast("int").alias("_copies")))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).drop("_id")
-    return joined.withColumn("_copies", F.explode(F.expr("array_repeat(0, _copies)"))).drop("_copies")
+    rated = scratch.save(rated.select("skey", "size", "docs", "source_size", "target", "rate", F.expr("total div docs").alias("each"), F.expr("total % docs").alias("rest")))
+    # At most RANKED rows share a window; the other sizes go by a threshold that needs no ranks.
+    few = narrow.join(scratch.small(rated.where(f"rest > 0 and docs <= {RANKED}").select("skey", "size", "rest"), of=rated), ["skey", "size"])
+    few = few.withColumn("rn", F.row_number().over(Window.partitionBy("skey", "size").orderBy("u")))
+    few = few.where("rn <= rest").groupBy("skey", "size").agg((F.max("u") + 1).alias("exact"))
+    cut = F.when(F.col("rest") == 0, F.lit(0)).otherwise(F.coalesce("exact", (F.lit(float(SPAN)) * F.col("rest") / F.col("docs")).cast("long")))
+    return narrow, scratch.save(rated.join(few, ["skey", "size"], "left").select("skey", "size", "source_size", "target", "rate", "each", cut.cast("long").alias("cut")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """One row per row of docs: id, size (words), source_size, target (of its source), taken (words), rate, copies.
+
+    A null text has size 0, a null source is a source of its own and comes last. A document of size 0 has rate 1 and
+    one copy. Of documents of one source and size those with the smaller hash of the id take the copies left over; rows
+    that repeat an id take the same number. Reruns agree. A source whose target is twice its size takes every document
+    twice. An empty table gives an empty result. Other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession)
+    narrow, cells = plan(docs, scratch, id_col, text_col, source_col, weights, share)
+    copies = F.col("each") + (F.col("u") < F.col("cut")).cast("long")
+    found = narrow.join(scratch.small(cells), ["skey", "size"])
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "rate", copies.alias("copies"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """docs with each row as often as the mix takes it; all columns stay. Copies follow from a row's source, size and
+    id, so texts do not move where the table of sources and sizes is small enough to go to them."""
+    scratch = Scratch(docs.sparkSession)
+    _, cells = plan(docs, scratch, id_col, text_col, source_col, weights, share)
+    cells = scratch.save(cells.select(F.col("skey").alias("_skey"), F.col("size").alias("_size"), "each", "cut").withColumnsRenamed({"each": "_each", "cut": "_cut"}))
+    keys = _keyed(docs, id_col, text_col, source_col)
+    joined = docs.withColumns({f"_{n}": e for n, e in keys.items()}).join(scratch.small(cells), ["_skey", "_size"])
+    times = F.array_repeat(F.lit(0), (F.col("_each") + (F.col("_u") < F.col("_cut")).cast("long")).cast("int"))
+    return joined.withColumn("_u", F.explode(times)).select(*[docs.columns[i] for i in range(len(docs.columns))])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

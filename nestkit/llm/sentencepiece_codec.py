@@ -12,10 +12,10 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, table
 from .pieces import DEFAULT_MODEL, SPACE, UNK_PENALTY, Pieces
@@ -224,20 +224,20 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def encode_columns(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
-    """docs with n_tokens and ids of each text, without a join: rows keep all their columns (those of these two names
-    are replaced)."""
-    small_batches(docs.sparkSession)
+    """docs with n_tokens and ids of each text, without a join: rows keep all their columns (but those of these two
+    names, which are replaced)."""
+    small_batches(docs.sparkSession, 1000, "4m")
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    docs = docs.drop("n_tokens", "ids")
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(pieces.value)
-        for texts in batches:
-            ids, at = codec.encode(texts.tolist())
-            yield pd.Series([ids[a:b] for a, b in zip(at, at[1:])], dtype="object")
+        for b in batches:
+            ids, at = codec.encode(b.column(text_col).to_pylist())
+            found = [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, "n_tokens", "ids"])
 
-    found = docs.withColumn("ids", ids_of(F.col(text_col)))
-    return found.withColumn("n_tokens", F.size("ids").cast("long"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     scratch = Scratch(docs.sparkSession)
     found = simhash_components(docs, id_col, text_col, **options)
     gone = scratch.save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(scratch.small(gone), docs[id_col] == F.col("_gone"), "left_anti")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
