@@ -9,7 +9,7 @@ whose run meets the document's end or a line that occurs once, drop out of the r
 
 Neighbours in the suffix array get their longest common prefix from the ranks of all rounds, from long to short. The
 intervals with a common prefix of at least MIN_LINES lines are the repeated runs. All of a run's copies but the first
-(by id, then line) are deleted. A single line counts as a run if it has LONG_CHARS characters. Runs do not cross
+(by id, then line) are deleted. A single line counts as a run if it has LONG_WORDS words. Runs do not cross
 documents; blank lines are not part of the sequence and stay.
 """
 
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import WORD, Scratch, table
 
 #: Lines of the shortest run; a power of two.
 MIN_LINES = 2
-LONG_CHARS = 200
+LONG_WORDS = 50
 SPACES = " \t\n\x0b\f\r"
 KEY = ["d1", "d2"]
 
@@ -133,15 +133,16 @@ def longest_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     return both[0].unionByName(both[1]).groupBy(*KEY, "idx").agg(F.max("lcp").alias("lines"))
 
 
-def _later(suffixes: DataFrame, name: str, length: int) -> DataFrame:
+def _later(suffixes: DataFrame, name: str, length: int, scratch: Scratch) -> DataFrame:
     """d1, d2, idx of the lines in all copies but the first of the runs called name."""
     place = F.struct("id", *KEY, "idx")
-    first = suffixes.groupBy(name).agg(F.min(place).alias("earliest"))
-    later = suffixes.join(first, name).where(place != F.col("earliest"))
+    # A written table: the join can then be split where one run has most of the rows.
+    first = scratch.save(suffixes.groupBy(name).agg(F.min(place).alias("earliest")))
+    later = suffixes.join(scratch.small(first), name).where(place != F.col("earliest"))
     return later.select(*KEY, F.explode(F.sequence("idx", F.col("idx") + (length - 1))).alias("idx"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """One row per row of docs: id, n_lines, n_deleted, longest_run (lines of the longest repeated run that starts in the
     document, 0 if none has min_lines), text without the later copies.
 
@@ -156,7 +157,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = source.select("id", "text", *_document("id", "text"))
     content = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     each = keyed.where("text is not null").select(*KEY, "id", content.alias("ls")).select(*KEY, "id", F.size("ls").alias("n"), F.posexplode("ls").alias("idx", "line"))
-    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.length("line") >= long_chars).alias("long"))
+    # A line with so many words has a character for each and a space between them; shorter lines are not counted.
+    long = F.when(F.length("line") >= 2 * long_words - 1, F.regexp_count("line", F.lit(WORD)) >= long_words).otherwise(F.lit(False))
+    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), long.alias("long"))
     lines = scratch.save(lines)
     # Equal rows are one document: each place of it once.
     repeated = lines.where("idx = 0").groupBy(*KEY).count().where("count > 1").select(*KEY)
@@ -164,9 +167,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines = lines.join(repeated, KEY, "left_anti").unionByName(lines.join(repeated, KEY, "left_semi").dropDuplicates([*KEY, "idx"]))
     suffixes = scratch.save(suffix_array(lines, scratch, min_lines))
     runs = longest_runs(suffixes, scratch).groupBy(*KEY).agg(F.max("lines").alias("longest"))
-    gone = _later(suffixes.where("copies > 1"), "run", min_lines)
+    gone = _later(suffixes.where("copies > 1"), "run", min_lines, scratch)
     single = suffixes.where("long").withColumn("line", F.element_at("ranks", 1))
-    gone = gone.unionByName(_later(single, "line", 1)).distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list("idx")).alias("gone"))
+    gone = gone.unionByName(_later(single, "line", 1, scratch)).distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list("idx")).alias("gone"))
     found = scratch.save(runs.join(gone, KEY, "full"))
     # Small results go to the texts; else texts and results meet by document.
     out = keyed.join(scratch.small(found), KEY, "left").withColumn("all", F.split("text", "\n", -1))

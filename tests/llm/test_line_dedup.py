@@ -1,13 +1,14 @@
 import random
+import re
 
 import pytest
 
-from nestkit.llm.line_dedup import LONG_CHARS, dedup_lines
+from nestkit.llm.line_dedup import LONG_WORDS, dedup_lines
 
 from .cases import ROWS, documents, empty
 
 
-def brute(rows, m=2, long_chars=LONG_CHARS):
+def brute(rows, m=2, long_words=LONG_WORDS):
     """Deletion by sets of windows, and longest repeated runs by sorting all suffixes."""
     docs = []
     for i, t in sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -23,7 +24,7 @@ def brute(rows, m=2, long_chars=LONG_CHARS):
                 gone[d] |= set(range(k, k + m))
             windows.add(w)
         for k, x in enumerate(seq):
-            if len(x) >= long_chars:
+            if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= long_words:
                 if x in singles:
                     gone[d].add(k)
                 singles.add(x)
@@ -56,10 +57,9 @@ def test_random_runs(spark, m):
     passage = [f"p{k}" for k in range(9)]
     rows = []
     for i in range(40):
-        lines = [rng.choice(["x", "y", "", f"own {i} {k}", "z" * LONG_CHARS]) for k in range(rng.randint(0, 9))]
+        lines = [rng.choice(["x", "y", "", f"own {i} {k}", "z " * LONG_WORDS]) for k in range(rng.randint(0, 9))]
         if rng.random() < 0.6:
             a = rng.randint(0, 4)
-            lines[rng.randint(0, len(lines)) :][:0] = []
             at = rng.randint(0, len(lines))
             lines[at:at] = passage[a : a + rng.randint(2, 5)]
         rows.append((i, "\n".join(lines), "en", "s", 1))
