@@ -74,3 +74,17 @@ def test_sql_names(spark, strict):
     assert [list(r) for r in sql] == [list(r) for r in columns]
     assert [tuple(r) for r in spark.sql("select idx, sub from get_characterIndices('a[b]', '[\\\\[\\\\]]') order by idx").collect()] == [(2, "["), (4, "]")]
     assert spark.sql("select use_meta().version v").first().v == "0.1.2"
+
+
+def test_core_stands_alone(tmp_path):
+    """Without the folders of training-data operators and the pipeline the rest imports and lists its queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "nestkit"), tmp_path / "nestkit", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert out.stdout.split() == ["True", str(len(core.QUERIES))], out.stderr
