@@ -84,34 +84,30 @@ class Codec:
         hashes = np.zeros((length + 1, n), np.uint64)
         for i in range(length):
             hashes[i + 1] = hashes[i] * BASE + codes[i] + np.uint64(1)
+        # All substrings of one length are probed at once; per length the words and pieces that match, by their end.
+        lengths = [k for k in sorted(self.by_length, reverse=True) if k <= length]
+        found, alone = {}, np.ones((length, n), bool)
+        for k in lengths:
+            flat, ids = self._probe((hashes[k:] - hashes[:-k] * self.power[k]).ravel(), k)
+            found[k] = flat % n, ids, np.searchsorted(flat, np.arange(length - k + 2) * n).tolist()
+            if k == 1:
+                alone.ravel()[flat] = False
         best = np.full((length + 1, n), -np.inf, np.float32)
         best[0] = 0
         back, last = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int64)
         for e in range(1, length + 1):
-            alone = np.ones(n, bool)
-            # Longest first and strictly greater: of equal scores the longest last piece stays, as in the library.
-            for k in sorted((k for k in self.by_length if k <= e), reverse=True):
-                s = e - k
-                rows, found = self._probe(hashes[e] - hashes[s] * self.power[k], k)
-                if k == 1:
-                    alone[rows] = False
-                if not len(rows):
-                    continue
-                if p.bpe:
-                    # One path is right, so a position that has its piece needs no other.
-                    open_ = best[e, rows] < 0
-                    rows, found = rows[open_], found[open_]
-                    if s and len(rows):
-                        ok = p.beside(last[s, rows], found)
-                        rows, found = rows[ok], found[ok]
-                    score = np.zeros(len(rows), np.float32)
-                else:
-                    score = best[s, rows] + p.scores[found]
-                more = score > best[e, rows]
-                rows, found = rows[more], found[more]
-                best[e, rows], back[e, rows], last[e, rows] = score[more], s, found
+            ends = [(k, w[at[e - k] : at[e - k + 1]], ids[at[e - k] : at[e - k + 1]]) for k in lengths if k <= e for w, ids, at in (found[k],)]
+            if p.bpe:
+                self._masked(e, ends, best, back, last)
+            else:
+                # Longest first and strictly greater: of equal scores the longest last piece stays, as in the library.
+                for k, rows, ids in ends:
+                    score = best[e - k, rows] + p.scores[ids]
+                    more = score > best[e, rows]
+                    rows = rows[more]
+                    best[e, rows], back[e, rows], last[e, rows] = score[more], e - k, ids[more]
             # A character that is no piece by itself is unknown.
-            rows = np.nonzero(alone)[0]
+            rows = np.nonzero(alone[e - 1])[0]
             if len(rows):
                 score = np.zeros(len(rows), np.float32) if p.bpe else best[e - 1, rows] + np.float32(self.least - UNK_PENALTY)
                 more = score > best[e, rows]
@@ -119,6 +115,20 @@ class Codec:
                 best[e, rows], back[e, rows], last[e, rows] = score[more], e - 1, p.size
         return self._paths(codes, back, last)
 
+    def _masked(self, e: int, ends: list[tuple[int, np.ndarray, np.ndarray]], best: np.ndarray, back: np.ndarray, last: np.ndarray) -> None:
+        """BPE: of the pieces that end at e, the one that may stand beside the piece before it."""
+        ends = [x for x in ends if len(x[1])]
+        if not ends:
+            return
+        rows, ids = np.concatenate([x[1] for x in ends]), np.concatenate([x[2] for x in ends])
+        starts = np.repeat([e - x[0] for x in ends], [len(x[1]) for x in ends])
+        before = last[starts, rows]
+        inner = np.nonzero(before >= 0)[0]
+        ok = starts == 0
+        ok[inner] = self.p.beside(before[inner], ids[inner])
+        rows = rows[ok]
+        best[e, rows], back[e, rows], last[e, rows] = 0, starts[ok], ids[ok]
+
     def _paths(self, codes: np.ndarray, back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Follows the backpointers of all words together, from the end."""
         size, fallback, n = self.p.size, self.p.bytes_ is not None, codes.shape[1]
