@@ -228,7 +228,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     picked = rows.select("id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("by")).groupBy("h").agg(F.min("by").alias("by"), F.min("id").alias("id"))
     picked = scratch.save(picked.orderBy("by").limit(sample).select("id", "h"))
-    got = scratch.save(rows.withColumn("h", F.xxhash64("text")).join(picked, ["id", "h"]).select("text", "lang")).toArrow()
+    got = rows.withColumn("h", F.xxhash64("text")).join(picked, ["id", "h"]).select("text", "lang").toArrow()
     pairs = sorted(zip(got["text"].to_pylist(), got["lang"].to_pylist()))
     return fit([p[0] for p in pairs], [p[1] for p in pairs])
 

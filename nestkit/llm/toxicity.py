@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(marks, "id")
     picked = scratch.save(narrow.groupBy("h").agg(F.min(F.struct("id", "label")).alias("r")).orderBy("h").limit(sample).select("r.*", "h"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").where(F.xxhash64("text") == F.col("h")).select("text", "label", "h")
-    got = scratch.save(texts.mapInArrow(_words, "words array<string>, swapped array<string>, label int, h long"))
+    got = texts.mapInArrow(_words, "words array<string>, swapped array<string>, label int, h long")
     # In a fixed order, so that reruns agree.
     return fit(got.toArrow().sort_by([("h", "ascending"), ("label", "ascending")]))
 
