@@ -32,6 +32,14 @@ def _document(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("d1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("d2")]
 
 
+def _has_words(line: Column, least: int) -> Column:
+    """Whether a line has so many words: one pass without backtracking, which ends at the last word asked for. A line
+    too short for a character a word and a space between them is not looked at."""
+    space = r"[\x20\x09-\x0D]"
+    enough = line.rlike(f"^{space}*+(?:{WORD}+{space}++){{{least - 1}}}{WORD}")
+    return F.when(F.length(line) >= 2 * least - 1, enough).otherwise(F.lit(False))
+
+
 def _offsets(sizes: DataFrame) -> DataFrame:
     """pid, before: how much lies in the partitions before each; sizes (pid, n) has one row a partition."""
     offsets, total = [], 0
@@ -157,9 +165,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = source.select("id", "text", *_document("id", "text"))
     content = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     each = keyed.where("text is not null").select(*KEY, "id", content.alias("ls")).select(*KEY, "id", F.size("ls").alias("n"), F.posexplode("ls").alias("idx", "line"))
-    # A line with so many words has a character for each and a space between them; shorter lines are not counted.
-    long = F.when(F.length("line") >= 2 * long_words - 1, F.regexp_count("line", F.lit(WORD)) >= long_words).otherwise(F.lit(False))
-    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), long.alias("long"))
+    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _has_words(F.col("line"), long_words).alias("long"))
     lines = scratch.save(lines)
     # Equal rows are one document: each place of it once.
     repeated = lines.where("idx = 0").groupBy(*KEY).count().where("count > 1").select(*KEY)

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from nestkit.llm.line_dedup import LONG_WORDS, dedup_lines
+from nestkit.llm.line_dedup import LONG_WORDS, _has_words, dedup_lines
 
 from .cases import ROWS, documents, empty
 
@@ -67,6 +67,14 @@ def test_random_runs(spark, m):
     assert values(dedup_lines(documents(spark, rows), min_lines=m)) == brute(rows, m)
 
 
+def test_words_of_lines(spark):
+    lines = ["a", " a b ", "a  b", "a\tb c", "\x0ba\rb\fc", "é ü", "a\xa0b c"]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    for least in (1, 2, 3):
+        got = [r.n for r in frame.select(_has_words(frame.line, least).alias("n")).collect()]
+        assert got == [n >= least for n in (1, 2, 2, 3, 3, 2, 2)]
+
+
 def test_first_copies_stay(spark):
     rows = [(i, "\n".join(["head", "a", "b", "c", f"tail {i}"]), "en", "s", 1) for i in range(300)]
     got = {r.doc_id: r for r in dedup_lines(documents(spark, rows)).collect()}
