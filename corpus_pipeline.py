@@ -1,8 +1,8 @@
 """A training corpus from documents in five stages, each one written as Parquet and read again by the next.
 
-toxicity: documents that the classifier rejects go. exact dedup: of equal texts the largest doc_id stays. SimHash
-near-dedup: of linked fingerprints the smallest doc_id stays. mixing: sources meet their target weights by copies.
-SentencePiece: each document's ids.
+toxicity: documents that the classifier rejects go. exact dedup: of equal texts the largest doc_id stays.
+near-dedup: of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles the smallest doc_id stays.
+mixing: sources meet their target weights by copies. SentencePiece: each document's ids.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from nestkit.llm.common import Scratch, table
 from nestkit.llm.exact_dedup import drop_exact
 from nestkit.llm.mixing import mix_documents
 from nestkit.llm.sentencepiece_codec import encode_columns
-from nestkit.llm.simhash import drop_near
+from nestkit.llm.similar import drop_similar
 from nestkit.llm.toxicity import reject_toxic
 
 
@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near(docs)
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

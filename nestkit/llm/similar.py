@@ -1,0 +1,172 @@
+"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles, found by MinHash and checked exactly.
+
+A text's shingles are hashed to 64 bits (XXH64), and BANDS groups of ROWS minima of that set become its band keys. Two
+texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at 0.8, more above. Texts that share
+a key form a bucket. Only their sets are made again, and within a bucket they are compared exactly, so that no text is
+linked below the threshold. A bucket is not compared pair by pair: a search visits each text once and compares it with
+those not reached yet, and emits a spanning forest. Its components are those of all links of the bucket.
+
+A bucket is cut into parts of bounded bytes. First each part is searched together with the bucket's smallest node; only
+buckets that are not one component by then have their parts compared two by two.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch, small_batches
+from .components import components
+
+WORDS = 5
+SIMILAR = 0.8
+BANDS, ROWS = 16, 4
+#: Bytes of the sets in one part of a bucket.
+PART = 8 << 20
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """The different hashes of the text's shingles, sorted. A text of fewer words is one shingle; no word: none."""
+    # bytes.lower() and bytes.split() know ASCII only: A to Z, and 20, 09 to 0D.
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    n = max(1, len(parts) - words + 1)
+    starts = np.concatenate(([0], ends[: n - 1])).tolist()
+    stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, stops)), np.uint64, n))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys (signed 64 bits) of a set; none for the empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * FACTORS).min(0), out=least)
+    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
+            ["id", "node", "n", "keys"],
+        )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+
+
+def link_sets(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (places in the list) whose similarity is similar or more."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    ends = np.cumsum(sizes)
+    own = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    mark = np.zeros(int(codes.max()) + 1, np.int32)
+    # left: places not reached yet; flat: their codes one after the other.
+    left, flat, links, queue = np.arange(len(sets)), codes, [], []
+    while len(left):
+        if not queue:
+            queue = [int(left[0])]
+            left, flat = left[1:], flat[sizes[left[0]] :]
+            continue
+        at = queue.pop()
+        mark[own[at]] = 1
+        n = sizes[left]
+        shared = np.add.reduceat(mark[flat], np.cumsum(n) - n)
+        mark[own[at]] = 0
+        near = shared >= similar * (n + sizes[at] - shared) - 1e-9
+        if near.any():
+            found = left[near].tolist()
+            links += [(at, x) for x in found]
+            queue += found
+            left, flat = left[~near], flat[np.repeat(~near, n)]
+    return links
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for group in batch.column("sets"):
+            rows = {r["node"].as_py(): np.frombuffer(r["hashes"].as_py(), np.uint64) for r in group.values}
+            nodes = np.array(list(rows), np.int64)
+            links = np.array(link_sets(list(rows.values())), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[links[:, 0]]), pa.array(nodes[links[:, 1]])], ["a", "b"])
+
+
+def _search(placed: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
+    """Links (a, b) found in each group of placed (by, node)."""
+    groups = placed.join(sets, "node").groupBy(*by).agg(F.collect_list(F.struct("node", "hashes")).alias("sets")).where("size(sets) > 1")
+    return groups.select("sets").mapInArrow(_links, "a long, b long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
+    """One row per row of docs: id, component_id (smallest id reachable over links).
+
+    A null text counts as empty, and texts without words are equal. Rows that repeat id or text are in one component.
+    Null ids do not count as the smallest unless a component has no other. An empty table gives an empty result. Other
+    columns of docs are not read.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    narrow = scratch.save(source.mapInArrow(_keyed, f"id {kind}, node long, n long, keys array<long>"))
+    each = narrow.select("node", "n", F.explode("keys").alias("key"))
+    shared = scratch.save(each.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep != last").select("key", "rep"))
+    members = scratch.save(each.join(scratch.small(shared), "key").groupBy("key", "rep", "node").agg(F.first("n").alias("n")))
+    # Buckets of the same members count once.
+    whole = members.groupBy("key", "rep").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.sum("n").alias("ns"))
+    buckets = scratch.save(whole.groupBy("rep", "c", "s", "ns").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("ns") * 8 / part).cast("int").alias("parts")))
+    placed = members.join(scratch.small(buckets), "key").withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = scratch.save(placed.select("key", "rep", "parts", "node", "p"))
+    # The sets of the texts in buckets, made from one text each.
+    found = narrow.join(scratch.save(placed.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    wanted = scratch.save(found.select(F.col("id").alias("_id")).distinct())
+    texts = source.join(scratch.small(wanted), source.id.eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = scratch.save(texts.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]))
+    reps = placed.select("key", "rep", "p").distinct().select("key", F.col("rep").alias("node"), "p")
+    first = scratch.save(_search(placed.select("key", "node", "p").unionByName(reps).distinct(), sets, ["key", "p"]))
+    roots, links = scratch.save(components(first, scratch)), first
+    cut = placed.where("parts > 1")
+    if cut.limit(1).count():
+        rooted = cut.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = scratch.save(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key"))
+        pairs = cut.join(scratch.small(apart), "key", "left_semi").withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
+        pairs = pairs.where("p != q").select("key", "node", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+        links = first.unionByName(scratch.save(_search(pairs, sets, ["key", "p", "q"])))
+        roots = scratch.save(components(links, scratch))
+    nodes = scratch.save(narrow.groupBy("node").agg(F.min("id").alias("least")).join(scratch.small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    smallest = nodes.groupBy("root").agg(F.min("least").alias("component"))
+    labels = scratch.save(nodes.join(smallest, "root").select("node", "component"))
+    return narrow.join(labels, "node").select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component, that of the smallest id; all columns stay. Rows of a null id stay."""
+    scratch = Scratch(docs.sparkSession)
+    found = similar_components(docs, id_col, text_col, **options)
+    gone = scratch.save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
+    return docs.join(scratch.small(gone), docs[id_col] == F.col("_gone"), "left_anti")
