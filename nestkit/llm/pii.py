@@ -3,7 +3,8 @@
 Validated numbers (payment cards, phone numbers, social security numbers, IPv4 addresses, IBANs), calendar dates and
 the local parts of e-mail addresses become other values of the same format. The permutation depends on the key, the
 kind and the format alone, so equal values stay linked across documents and different values stay different. Numbers
-that fail their check (Luhn, mod 97, ranges, calendar) stay as they are. Everything happens within a row: no shuffle.
+that fail their check (Luhn, mod 97, ranges, calendar) stay as they are; a card or an IBAN is also found where the match
+takes in numbers or words beside it. Everything happens within a row: no shuffle.
 
 A value is a list of symbols, each with its radix. A round adds a keyed hash of one half of the list to the other half,
 symbol by symbol and modulo the radix; ROUNDS rounds alternate between the halves. Where only some lists are valid
@@ -92,7 +93,23 @@ def _walk(start: str, step: str, valid: str) -> str:
     return f"aggregate(sequence(1, {WALK}), {start}, (x, n) -> if(n > 1 and {valid}, x, {step}))"
 
 
+def _edges(m: str) -> tuple[str, str]:
+    """SQL of the places in m at which a part between separators starts, and of those at which one stops."""
+    edge = lambda at, there: f"filter(sequence(1, length({m})), p -> p = {at} or substr({m}, {there}, 1) in (' ', '-'))"
+    return edge("1", "p - 1"), edge(f"length({m})", "p + 1")
+
+
 def _card(m: str, key: str) -> str:
+    """A card; where the whole match is none, the longest part between separators that is one (the first of equals)."""
+    starts, stops = _edges(m)
+    valid = _let("d", _plain(f"substr({m}, b, e - b + 1)"), f"length(d) between 13 and 19 and {_luhn_sum('d')} % 10 = 0 and d rlike '[1-9]'")
+    parts = f"flatten(transform({starts}, b -> transform(filter({stops}, e -> e - b >= 12 and {valid}), e -> struct(e - b + 1 as n, -b as b))))"
+    cut = f"concat(substr({m}, 1, -z.b - 1), {_let('w', f'substr({m}, -z.b, z.n)', _whole_card('w', key))}, substr({m}, z.n - z.b))"
+    within = _let("z", f"array_max({parts})", f"if(z is null, {m}, {cut})")
+    return f"if({_luhn_sum(_plain(m))} % 10 = 0, {_whole_card(m, key)}, {within})"
+
+
+def _whole_card(m: str, key: str) -> str:
     check = f"(10 - {_luhn_sum('concat(nu, chr(48))')} % 10) % 10"
     # The first digit, which names the issuer, stays; the last one is the check digit.
     new = _let("nu", f"concat(substr(d, 1, 1), {_chars('substr(d, 2, length(d) - 2)', _q('card'), key)})", f"concat(nu, {check})")
@@ -122,6 +139,17 @@ def _ipv4(m: str, key: str) -> str:
 
 
 def _iban(m: str, key: str) -> str:
+    """An IBAN; where the whole match is none, the parts between spaces that are one, from left to right, the longest
+    from each start."""
+    starts, stops = _edges(m)
+    valid = _let("d", _plain(f"substr({m}, b, e - b + 1)"), f"length(d) between 15 and 34 and d rlike '^[A-Z]{{2}}[0-9]{{2}}' and {_mod97('d')} = 1")
+    put = f"struct(concat(a.o, substr({m}, a.k, b - a.k), {_let('w', f'substr({m}, b, z - b + 1)', _whole_iban('w', key))}) as o, z + 1 as k)"
+    step = f"if(b < a.k, a, {_let('z', f'array_max(filter({stops}, e -> e - b >= 14 and {valid}))', f'if(z is null, a, {put})')})"
+    within = f"aggregate({starts}, struct('' as o, 1 as k), (a, b) -> {step}, a -> concat(a.o, substr({m}, a.k)))"
+    return f"if({_mod97(_plain(m))} = 1, {_whole_iban(m, key)}, {within})"
+
+
+def _whole_iban(m: str, key: str) -> str:
     body = _chars("substr(d, 5)", "concat('iban', substr(d, 1, 2))", key)
     whole = "concat(substr(d, 1, 2), lpad(cast(98 - " + _mod97("concat(substr(d, 1, 2), '00', nb)") + " as string), 2, '0'), nb)"
     return _let("d", _plain(m), f"if({_mod97('d')} = 1, {_let('nd', _let('nb', body, whole), _refill(m, 'nd'))}, {m})")

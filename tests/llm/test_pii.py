@@ -80,6 +80,21 @@ def test_invalid_values_stay(spark):
     assert run(spark, texts) == texts
 
 
+def test_values_beside_others(spark):
+    """The value inside is replaced as it is alone, and what stands beside it stays."""
+    card, grouped, iban, other = "4111111111111111", "4111 1111 1111 1111", "ES9121000418450200051332", "BE68539007547034"
+    alone = run(spark, [card, grouped, iban, other])
+    assert all(a != b for a, b in zip(alone, [card, grouped, iban, other]))
+    cases = [(0, "{} 12/27"), (1, "{} 123"), (0, "05/27 {}"), (0, "10:15 {}"), (2, "{} AND"), (3, "{} BE71096123456769")]
+    got = run(spark, [form.format([card, grouped, iban, other][k]) for k, form in cases])
+    for (k, form), g in list(zip(cases, got))[:5]:
+        assert g == form.format(alone[k])
+    first, second = got[5].split()
+    assert first == alone[3] and second != "BE71096123456769" and mod97(second) == 1
+    stay = ["4111111111111112 12/27", "ES9121000418450200051333 AND"]
+    assert run(spark, stay) == stay
+
+
 def test_permutation_is_one_to_one_and_keyed(spark):
     days = [str(datetime.date(2000, 1, 1) + datetime.timedelta(days=k)) for k in range(800)]
     got = run(spark, [" ".join(days), " ".join(days)])
