@@ -1,4 +1,4 @@
-"""What each namespace is for."""
+"""What each namespace holds, generated from the list of its functions."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION, HOME = "0.1.2", "nestkit"
-SCOPES = {
-    "cue": "Type checks and initial records.",
-    "def": "Defaults of schemas and interfaces.",
-    "fix": "Corrections of text.",
-    "get": "Extraction and parsing.",
-    "lay": "Layout: the inverse of corrections.",
-    "map": "Transformations over parts of a text.",
-    "try": "Trial runs and tests.",
-    "use": "Whole operations.",
+#: The functions of each namespace, besides meta itself.
+FUNCTIONS = {
+    "cue": ["jsonObjectInterface"],
+    "def": [],
+    "fix": ["jsonKeyFragment", "jsonPrimitives", "jsonSafeGuards", "jsonTuples"],
+    "get": ["characterIndices", "jsonKeyFragment", "jsonKeyIndex", "jsonObjectBoundaries", "jsonObjectFragment", "jsonObjectMetadata", "jsonStringFromStruct", "jsonStringMask", "unrolled"],
+    "lay": ["jsonPrimitives", "jsonSafeGuards"],
+    "map": ["jsonSafeGuards", "objectContainment"],
+    "try": [],
+    "use": ["parser", "unroller"],
 }
+SCOPES = {n: ", ".join(names) or "no functions" for n, names in FUNCTIONS.items()}
 
 
 def meta(namespace: str) -> Column:

@@ -26,6 +26,12 @@ GUARDS = {
 }
 QUOTE_GUARD, CUT, QUOTED = "\x05", "\x0e", "\x0f"
 FENCE_OPEN, FENCE_CLOSE = '"#":{', '},"#":#'
+# Fixed patterns of the format: two fields without a name, a name without quotes, a delimiter. Both engines' SQL uses them.
+NAMELESS, NAMELESS_AS = r'"":([^{}\[\]]*?),"":([^{}\[\]]*?)', "$1:$2"
+BARE_NAME, BARE_NAME_AS = r'([{,])\s*([^":{\[\]}\s]+)(\s*:)', '$1"$2"$3'
+DELIMITER = r"([{}\[\]:,<>()#])"
+#: A text whose quoted parts hold nothing to guard; possessive, so that its length does not matter.
+_NOTHING_TO_GUARD = r'^(?:[^"\x0e\x0f]++|"[^"\\{}\[\]:,<>()#\x0e\x0f]*+")*+\z'
 #: A key starts where a run of other characters starts; possessive, so that long prose costs one pass.
 _KEY = r'(?:"[^"]*"|(?:\G|(?<![^:,{}]))[^:,{}]*+)\s*:\s*'
 _NUMBER = {True: r"[\d.]+", False: r"-?[\d.]+(?:[eE][+-]?\d+)?"}
@@ -45,7 +51,7 @@ def guard(text: Column | str, escape: bool = True) -> Column:
     """Delimiters replaced by control characters, or (escape False) with a backslash before them."""
     if escape:
         return F.translate(_col(text), "".join(GUARDS), "".join(GUARDS.values()))
-    return F.regexp_replace(_col(text), r"([{}\[\]:,<>()#])", r"\\$1")
+    return F.regexp_replace(_col(text), DELIMITER, r"\\$1")
 
 
 def unguard(text: Column | str, strict: bool = False) -> Column:
@@ -68,13 +74,14 @@ def guard_quoted(text: Column | str, escape: bool = True, strict: bool = False)
             bare = F.regexp_replace(bare, r'(?<!\\)((?:\\\\)*)\\"', "$1" + (QUOTE_GUARD if escape else "\\\\“"))
         return guard(bare, escape)
 
-    return F.array_join(F.transform(F.split(marked, CUT, -1), lambda x: F.when(x.startswith(QUOTED), inside(x)).otherwise(x)), "")
+    guarded = F.array_join(F.transform(F.split(marked, CUT, -1), lambda x: F.when(x.startswith(QUOTED), inside(x)).otherwise(x)), "")
+    return F.when(_col(text).rlike(_NOTHING_TO_GUARD), _col(text)).otherwise(guarded)
 
 
 def fix_tuples(text: Column | str) -> Column:
     """Consecutive fields without a name become name and value; bare names get quotes; a name left over is undefined."""
-    folded = F.regexp_replace(_col(text), r'"":([^{}\[\]]*?),"":([^{}\[\]]*?)', "$1:$2")
-    quoted = F.regexp_replace(folded, r'([{,])\s*([^":{\[\]}\s]+)(\s*:)', '$1"$2"$3')
+    folded = F.regexp_replace(_col(text), NAMELESS, NAMELESS_AS)
+    quoted = F.regexp_replace(folded, BARE_NAME, BARE_NAME_AS)
     return F.replace(quoted, F.lit('"":'), F.lit('"undefined":'))
 
 

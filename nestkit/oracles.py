@@ -1,10 +1,8 @@
 """SQL for DuckDB that says the same as the queries, written from the rules and not from the Spark plans: brackets come
-from single characters, keys from range frames over positions, parents from interval joins."""
+from pieces of text that end with one, keys from range frames over positions, parents from the level above."""
 
 from __future__ import annotations
 
-from .functions.meta import HOME, SCOPES, VERSION
-
 _PLAIN = "{}[]:,<>()#"
 _CONTROL = "||".join(f"chr({c})" for c in (0x1C, 0x1D, 0x02, 0x03, 0x1E, 0x1F, 0x01, 0x04, 0x11, 0x13, 0x1B))
 _DEEP = 9
@@ -48,8 +46,10 @@ _PAGES = "SELECT page_id AS doc, html AS t FROM pages"
 
 
 def _chars(src: str) -> str:
-    """ch: all characters with their positions."""
-    return f"src AS ({src}), ch AS (SELECT doc, unnest(range(1, length(t) + 1)) AS idx, unnest(string_split(t, '')) AS sub FROM src)"
+    """ch: brackets and commas with their positions, which are the lengths of what stands before them."""
+    return f"""src AS ({src}),
+tk AS (SELECT doc, unnest(regexp_extract_all(t, '[^\\[\\]{{}},]*[\\[\\]{{}},]')) AS part, unnest(range(1, 1 + len(regexp_extract_all(t, '[\\[\\]{{}},]')))) AS k FROM src),
+ch AS (SELECT doc, (sum(length(part)) OVER (PARTITION BY doc ORDER BY k ROWS UNBOUNDED PRECEDING))::BIGINT AS idx, right(part, 1) AS sub FROM tk)"""
 
 
 def _pairs(src: str) -> str:
@@ -98,11 +98,18 @@ _OUT = """nth, CASE WHEN depth = 0 THEN -1 WHEN depth = 1 THEN 0 ELSE pnth END A
     CASE WHEN depth = 0 THEN -1 WHEN depth = 1 THEN 0 ELSE pnth END AS parent_nth, parent_key, parent_ord"""
 
 
+def _above(pick: int) -> str:
+    """ab: each node as a child of its level and as a parent of the next, with the parent that opened last."""
+    level = "OVER (PARTITION BY doc, grp ORDER BY open ROWS UNBOUNDED PRECEDING)"
+    return f"""rl AS (SELECT *, true AS child, level AS grp FROM sy WHERE level <= {pick} UNION ALL SELECT *, false, level + 1 FROM sy WHERE level < {pick}),
+ab AS (SELECT *, last_value(CASE WHEN NOT child THEN open END IGNORE NULLS) {level} AS lo, arg_max(CASE WHEN NOT child THEN [rawkey] END, CASE WHEN NOT child THEN open END) {level}[1] AS lr FROM rl)"""
+
+
 def _nodes(src: str, pick: int = _DEEP) -> str:
     """fin: corrected nodes, one parent's array at a time."""
     return f"""WITH {_keys(src)},
-up AS (SELECT c.*, p.open AS popen, p.rawkey AS praw FROM (SELECT * FROM sy WHERE level <= {pick}) c LEFT JOIN sy p
-    ON p.doc = c.doc AND p.level = c.level - 1 AND p.open < c.open AND p.close > c.close),
+{_above(pick)},
+up AS (SELECT * EXCLUDE (child, grp, lo, lr), lo AS popen, lr AS praw FROM ab WHERE child),
 kx AS (SELECT *, coalesce(rawkey, praw) AS k FROM up),{_number("doc, level, popen", "doc, level", "kx")},
 nn AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY level, open) - 1 AS nth FROM a4),
 fin AS (SELECT c.doc, c.level::BIGINT AS depth, c.nth, p.nth AS pnth, c.slot, c.open, c.close, c.nest::BIGINT AS nest, c.key, c.ord, c.sym, c.json, p.key AS parent_key, p.ord AS parent_ord,
@@ -112,12 +119,12 @@ fin AS (SELECT c.doc, c.level::BIGINT AS depth, c.nth, p.nth AS pnth, c.slot, c.
 def _nodes_strict(src: str, pick: int = _DEEP) -> str:
     """fin: nodes with arrays counted a level at a time, and parents' keys as their level shows them."""
     return f"""WITH {_keys(src)},
-rl AS (SELECT *, true AS child, level AS grp FROM sy UNION ALL SELECT *, false, level + 1 FROM sy),
-kx AS (SELECT * EXCLUDE (rawkey), coalesce(rawkey, last_value(CASE WHEN NOT child THEN rawkey END IGNORE NULLS) OVER (PARTITION BY doc, grp ORDER BY open ROWS UNBOUNDED PRECEDING)) AS k FROM rl WHERE grp <= {pick}),
+{_above(pick)},
+kx AS (SELECT * EXCLUDE (rawkey), coalesce(rawkey, last_value(CASE WHEN NOT child THEN rawkey END IGNORE NULLS) OVER (PARTITION BY doc, grp ORDER BY open ROWS UNBOUNDED PRECEDING)) AS k FROM ab),
 {_number("doc, grp, child", "doc, grp, child", "kx")},
 nn AS (SELECT *, row_number() OVER (PARTITION BY doc, child ORDER BY level, open) - 1 AS nth FROM a4),
 fin AS (SELECT c.doc, c.level::BIGINT AS depth, c.nth, p.nth AS pnth, c.slot, c.open, c.close, c.nest::BIGINT AS nest, c.key, c.ord, c.sym, c.json, p.key AS parent_key, p.ord AS parent_ord
-  FROM (SELECT * FROM nn WHERE child) c LEFT JOIN (SELECT * FROM nn WHERE NOT child) p ON p.doc = c.doc AND p.grp = c.grp AND p.open < c.open AND p.close > c.close)"""
+  FROM (SELECT * FROM nn WHERE child) c LEFT JOIN (SELECT * FROM nn WHERE NOT child) p ON p.doc = c.doc AND p.grp = c.grp AND p.open = c.lo)"""
 
 
 def _masked(rows: str) -> str:
@@ -143,7 +150,9 @@ def _back(char: str, back: int) -> str:
 _KPOS = f"coalesce({_back(',', 1)}, {_back('[', 2)}, {_back('{', 1)}, 0)"
 
 ORACLE_SQL = {
-    "namespace_meta": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', '{VERSION}', '{HOME}')" for n, s in SCOPES.items()) + ") AS v(namespace, scope, version, repo)",
+    "namespace_meta": """SELECT namespace, scope, '0.1.2' AS version, 'nestkit' AS repo FROM (VALUES ('cue', 'jsonObjectInterface'), ('def', 'no functions'), ('try', 'no functions'),
+        ('fix', 'jsonKeyFragment, jsonPrimitives, jsonSafeGuards, jsonTuples'), ('lay', 'jsonPrimitives, jsonSafeGuards'), ('map', 'jsonSafeGuards, objectContainment'), ('use', 'parser, unroller'),
+        ('get', 'characterIndices, jsonKeyFragment, jsonKeyIndex, jsonObjectBoundaries, jsonObjectFragment, jsonObjectMetadata, jsonStringFromStruct, jsonStringMask, unrolled')) AS v(namespace, scope)""",
     "json_from_struct": f"SELECT doc, jsn FROM ({_CUSTOMERS})",
     "json_from_array": f"SELECT doc, jsn FROM ({_REGION_LISTS})",
     "fence": f"SELECT doc, {_fence(_tuples(_mask('jsn')))} AS jsn FROM ({_ORDERS})",
@@ -177,6 +186,9 @@ ORACLE_SQL = {
     "parser_regions": f"SELECT t AS str, starts_with(t, '[{{') OR starts_with(t, '[[') AS is_array_root, n.* FROM (SELECT doc, {_masked(_REGION_LISTS)}) m JOIN ({_parsed(_REGION_LISTS)}) n USING (doc)",
     "parser_nested": f"""SELECT doc, any_value(t) AS str, any_value(starts_with(t, '[{{') OR starts_with(t, '[[')) AS is_array_root, depth, count(*) AS n, string_agg(key, '|' ORDER BY nth) AS keys
       FROM (SELECT doc, {_masked(_REGIONS)}) m JOIN ({_parsed(_REGIONS)}) n USING (doc) WHERE depth <= 2 GROUP BY doc, depth""",
+    "parser_orders": _parsed(_ORDERS),
+    "parser_orders_nested": f"""SELECT doc, false AS is_array_root, depth, count(*) AS n, string_agg(key, '|' ORDER BY nth) AS keys, sum(strlen(json))::BIGINT AS bytes
+      FROM ({_parsed(_ORDERS)}) WHERE depth <= 3 GROUP BY doc, depth""",
     "level_stats": f"{_nodes(_FENCED_ORDERS)} SELECT depth, sym, count(*) AS n, count(DISTINCT doc) AS docs, sum(nth)::BIGINT AS nths, max(close) AS far FROM fin GROUP BY 1, 2",
     "leaf_pivot": """SELECT l_orderkey AS doc, 4 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount, l_returnflag) AS line,
         l_linenumber AS n, l_partkey AS part, l_quantity AS qty, l_discount AS "off" FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",

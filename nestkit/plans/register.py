@@ -21,7 +21,7 @@ def _before(char: str, back: int) -> str:
 def definitions(strict: bool = False) -> dict[str, str]:
     """Name and signature of each SQL function, and its body."""
     plain, control = _q("".join(T.GUARDS)), _q("".join(T.GUARDS.values()))
-    guard = f"if(esc, translate(str, {plain}, {control}), regexp_replace(str, {_q(r'([{}\[\]:,<>()#])')}, {_q(chr(92) * 2 + '$1')}))"
+    guard = f"if(esc, translate(str, {plain}, {control}), regexp_replace(str, {_q(T.DELIMITER)}, {_q(chr(92) * 2 + '$1')}))"
     quote = f"if(esc, {_q(T.QUOTE_GUARD)}, {_q(chr(92) + '“')})"
     if strict:
         marked = f"regexp_replace(replace(jsn, {_q(chr(92) + chr(34))}, {quote}), {_q('"([^"]*)"')}, {_q(T.CUT + T.QUOTED)} || '\"$1\"' || {_q(T.CUT)})"
@@ -30,8 +30,8 @@ def definitions(strict: bool = False) -> dict[str, str]:
         marked = f"regexp_replace(jsn, {_q(r'"((?:[^"\\]|\\.)*+)"')}, {_q(T.CUT + T.QUOTED)} || '\"$1\"' || {_q(T.CUT)})"
         bare = f"regexp_replace(replace(x, {_q(T.QUOTED)}, ''), {_q(r'(?<!\\)((?:\\\\)*)\\"')}, if(esc, {_q('$1' + T.QUOTE_GUARD)}, {_q('$1' + chr(92) * 2 + '“')}))"
     inside = guard.replace("str,", f"{bare},")
-    tuples = f"regexp_replace(jsn, {_q(r'"":([^{}\[\]]*?),"":([^{}\[\]]*?)')}, '$1:$2')"
-    tuples = f"regexp_replace({tuples}, {_q(r'([{,])\s*([^":{\[\]}\s]+)(\s*:)')}, '$1\"$2\"$3')"
+    tuples = f"regexp_replace(jsn, {_q(T.NAMELESS)}, {_q(T.NAMELESS_AS)})"
+    tuples = f"regexp_replace({tuples}, {_q(T.BARE_NAME)}, {_q(T.BARE_NAME_AS)})"
     fence = T._KEY + '(?:"[^"]*"|' + T._NUMBER[strict] + "|true|false|null)"
     name = "element_at(split(rtrim(':', nullif(regexp_replace(key, '[{\\\\[]+', ''), '')), ':'), -1)"
     out = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.levels import PAIRS, Pairs
-from ..operators.nodes import FIELDS, unroller
+from ..operators.nodes import FIELDS, deal, trees, unroller
 
 
 def unrolled(df: DataFrame, by: str | Sequence[str], text: str, upto: int | None, pairs: Pairs = PAIRS, strict: bool = False) -> DataFrame:
@@ -18,28 +18,37 @@ def unrolled(df: DataFrame, by: str | Sequence[str], text: str, upto: int | None
     return unroller(df.select(*by, T.fence(text, strict).alias("_fenced")), by, "_fenced", upto, pairs, strict)
 
 
-def nested(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, levels: array<struct<depth, children>>, levels and children in order."""
-    node = F.struct(*[c for c in FIELDS if c != "depth"])
-    level = nodes.groupBy(*by, "depth").agg(F.array_sort(F.collect_list(node)).alias("children"))
-    return level.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("depth", "children"))).alias("levels"))
+def _levels(nodes: Column) -> Column:
+    """array<struct<depth, children>> of a document's nodes, which are in the order of levels."""
+    child = lambda n: F.struct(*[n[f].alias(f) for f in FIELDS if f != "depth"])
+    level = lambda d: F.struct(d.cast("long").alias("depth"), F.transform(F.filter(nodes, lambda n: n["depth"] == d), child).alias("children"))
+    return F.transform(F.array_distinct(F.transform(nodes, lambda n: n["depth"])), level)
 
 
-def parser(df: DataFrame, by: str | Sequence[str], value: Column | str, max_depth: int | None, shape: str = "flat", strict: bool = False) -> DataFrame:
+def parser(df: DataFrame, by: str | Sequence[str], value: Column | str, max_depth: int | None, shape: str = "flat", strict: bool = False, variant: bool = False) -> DataFrame:
     """Serialises, masks and unrolls a value of any type; json is unmasked, and null where it does not parse.
 
     flat: by, str, is_array_root and FIELDS, one row a node. nested: by, str, levels, is_array_root, one row a document,
-    with no levels for a value without brackets.
+    with no levels for a value without brackets. variant: json is a parsed value (VARIANT, which sorts its keys and
+    drops trailing zeros) instead of text; a null value of str (a null document) gives no row in the flat shape.
     """
     if shape not in ("flat", "nested"):
         raise ValueError("shape is flat or nested")
     by = [by] if isinstance(by, str) else list(by)
-    masked = df.select(*by, T.mask(value, strict).alias("str")).withColumn("is_array_root", F.col("str").startswith("[{") | F.col("str").startswith("[["))
-    nodes = unrolled(masked, by, "str", max_depth, strict=strict)
-    clean = {"json": T.valid_json(T.unguard("json", strict))}
-    if not strict:
-        clean |= {"key": T.unguard("key"), "parent": F.struct("parent.nth", T.unguard("parent.key").alias("key"), "parent.ord")}
-    nodes = nodes.withColumns(clean)
+    # Dealt once by the key; both uses read the same exchange.
+    masked = deal(df.select(*by, T.mask(value, strict).alias("str")), by)
+    fenced = masked.select(*by, T.fence("str", strict).alias("_fenced"))
+
+    def clean(n: Column) -> Column:
+        plain = T.unguard(n["json"], strict)
+        out = {f: n[f] for f in FIELDS} | {"json": F.try_parse_json(plain) if variant else T.valid_json(plain)}
+        if not strict:
+            parent = n["parent"]
+            out |= {"key": T.unguard(n["key"]), "parent": F.struct(parent["nth"].alias("nth"), T.unguard(parent["key"]).alias("key"), parent["ord"].alias("ord"))}
+        return F.struct(*[c.alias(f) for f, c in out.items()])
+
+    found = trees(fenced, by, "_fenced", max_depth, strict=strict).withColumn("nodes", F.transform("nodes", clean))
+    root = (F.col("str").startswith("[{") | F.col("str").startswith("[[")).alias("is_array_root")
     if shape == "flat":
-        return nodes.join(masked, by).select(*by, "str", "is_array_root", *FIELDS)
-    return masked.join(nested(nodes, by), by, "left").select(*by, "str", F.coalesce("levels", F.array()).alias("levels"), "is_array_root")
+        return masked.join(found, by).select(*by, "str", root, F.inline("nodes"))
+    return masked.join(found, by, "left").select(*by, "str", F.coalesce(_levels(F.col("nodes")), F.array()).alias("levels"), root)

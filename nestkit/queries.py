@@ -108,22 +108,27 @@ def key_fragment(spark, d):
     return _brackets(spark, d).select("doc", "idx", T.key_fragment("text", "idx", T.key_index("text", "idx")).alias("key"))
 
 
-def _order_pairs(spark, d) -> DataFrame:
-    docs = _masked_orders(spark, d).select("doc", T.fence("text").alias("text"))
-    return nodes.paired_nodes(docs, ["doc"], "text", levels.PAIRS, DEEP).join(docs, "doc")
+def _fenced_orders(spark, d) -> DataFrame:
+    """Dealt by the document once, for both its brackets and its text."""
+    return nodes.deal(_masked_orders(spark, d).select("doc", T.fence("text").alias("text")), ["doc"])
+
+
+def _cut_orders(spark, d) -> DataFrame:
+    return nodes.cut_nodes(_fenced_orders(spark, d), ["doc"], "text", DEEP)
 
 
 def key_name(spark, d):
-    return _order_pairs(spark, d).select("doc", "open", T.key_name(T.key_fragment("text", "open", "kpos")).alias("key"))
+    return _cut_orders(spark, d).select("doc", "open", T.key_name("fragment").alias("key"))
 
 
 def object_fragment(spark, d):
-    return _order_pairs(spark, d).select("doc", "open", T.object_fragment("text", "open", "close").alias("json"))
+    return _cut_orders(spark, d).select("doc", "open", "json")
 
 
 def object_interface(spark, d):
     side = lambda c: F.struct(F.col(c).alias("idx"), F.col("nest"))
-    rows = _order_pairs(spark, d).withColumn("h", side("open")).withColumn("t", side("close"))
+    docs = _fenced_orders(spark, d)
+    rows = nodes.paired_nodes(docs, ["doc"], "text", levels.PAIRS, DEEP).join(docs, "doc").withColumn("h", side("open")).withColumn("t", side("close"))
     record = nodes.object_interface(F.col("depth"), F.col("text"), F.col("h"), F.col("t"), F.col("slot"), F.col("kpos"), F.lit(True))
     empty = {c: F.col(c).cast("string") for c in ("arr_ctx", "acid", "ocid", "ecid")}
     return rows.select("doc", record.alias("r")).select("doc", "r.*").withColumns(empty)
@@ -144,8 +149,7 @@ def boundaries(spark, d):
 
 
 def metadata(spark, d):
-    rows = _order_pairs(spark, d).withColumn("fragment", T.key_fragment("text", "open", "kpos")).withColumn("json", T.object_fragment("text", "open", "close")).drop("text")
-    found = nodes.object_metadata(rows, ["doc"], DEEP)
+    found = nodes.object_metadata(_fenced_orders(spark, d), ["doc"], "text", DEEP)
     return found.select("doc", "depth", "slot", "open", "close", "key", "sym", "ord", "acid", "ocid", "ecid", "list")
 
 
@@ -173,6 +177,17 @@ def parser_regions(spark, d):
     return _flat(parser(region_values(spark, d), "doc", "value.nations", DEEP), True)
 
 
+def parser_orders(spark, d):
+    return _flat(parser(order_documents(spark, d), "doc", "value", DEEP))
+
+
+def parser_orders_nested(spark, d):
+    """Of each order and level: its nodes, their keys and the bytes of their texts."""
+    found = parser(order_documents(spark, d), "doc", "value", 3, shape="nested").select("doc", "is_array_root", F.explode("levels").alias("level"))
+    keys, sizes = F.array_join("level.children.key", "|"), F.aggregate("level.children.json", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
+    return found.select("doc", "is_array_root", F.col("level.depth").alias("depth"), F.size("level.children").cast("long").alias("n"), keys.alias("keys"), sizes.alias("bytes"))
+
+
 def parser_nested(spark, d):
     found = parser(region_values(spark, d), "doc", "value", 2, shape="nested").select("doc", "str", "is_array_root", F.explode("levels").alias("level"))
     return found.select("doc", "str", "is_array_root", F.col("level.depth").alias("depth"), F.size("level.children").cast("long").alias("n"), F.array_join("level.children.key", "|").alias("keys"))
@@ -220,6 +235,8 @@ QUERIES = {
     "parser_customers": parser_customers,
     "parser_regions": parser_regions,
     "parser_nested": parser_nested,
+    "parser_orders": parser_orders,
+    "parser_orders_nested": parser_orders_nested,
     "level_stats": level_stats,
     "leaf_pivot": leaf_pivot,
 }

@@ -76,6 +76,24 @@ def test_sql_names(spark, strict):
     assert spark.sql("select use_meta().version v").first().v == "0.1.2"
 
 
+def test_meta_names_what_is_registered(spark):
+    from nestkit.functions.meta import FUNCTIONS
+
+    known = {f"{n}_{f}" for n, names in FUNCTIONS.items() for f in [*names, "meta"]}
+    assert len(known) == 28 and set(register(spark)) <= known
+
+
+def test_a_missing_package_leaves_the_core(tmp_path):
+    """Without a package that an operator needs, the core's queries are still there."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(set(e.queries()) & set(e.core.QUERIES)))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert out.stdout.split() == [str(len(core.QUERIES))], out.stderr
+
+
 def test_core_stands_alone(tmp_path):
     """Without the folders of training-data operators and the pipeline the rest imports and lists its queries."""
     import shutil

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -108,6 +109,41 @@ def test_one_exchange_for_the_brackets(spark):
     assert plan.count("Exchange hashpartitioning") <= 2  # the brackets, and the texts they are cut from
 
 
+def test_time_is_linear_in_the_document(spark):
+    """A node's cost does not depend on where in the document it stands."""
+
+    def seconds(n):
+        text = "[" + ",".join('{"a":%d,"b":"x"}' % i for i in range(n)) + "]"
+        frame = spark.createDataFrame([(1, text)], "d int, t string").cache()
+        took = []
+        for _ in range(2):
+            began = time.time()
+            assert unrolled(frame, "d", "t", 9).selectExpr("count(*) c", "sum(length(json)) s").first().c == 3 * n + 1
+            took.append(time.time() - began)
+        return min(took)
+
+    seconds(1000)
+    assert seconds(20_000) < 2.2 * seconds(10_000)
+
+
+def test_two_documents_of_one_key_fail(spark):
+    frame = spark.createDataFrame([(1, "{}"), (1, "[{}]")], "d int, t string")
+    with pytest.raises(Exception, match="two documents have the same key"):
+        unrolled(frame, "d", "t", 3).collect()
+
+
+def test_pieces_of_text_in_bytes(spark):
+    text = '{"ä":[{"日本":"ü😀"},{"k":1}],"é":2}'
+    got = rows(spark, text)
+    assert [r.key for r in got] == ["$", "ä", "é", "ä[0]", "ä[1]", "日本", "k"]
+    assert [json.loads(r.json) for r in got] == [json.loads(text), [{"日本": "ü😀"}, {"k": 1}], {"é": 2}, {"日本": "ü😀"}, {"k": 1}, {"日本": "ü😀"}, {"k": 1}]
+
+
+def test_variant(spark):
+    got = parser(spark.sql(G1), "d", "o", 3, variant=True).selectExpr("nth", "cast(variant_get(json, '$.a', 'int') as int) a").orderBy("nth").collect()
+    assert got[0].a == 1
+
+
 def walk(text):
     """Spans and parents of brackets by a stack."""
     stack, spans = [], []

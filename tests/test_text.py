@@ -55,6 +55,15 @@ def test_mask_round_trip(spark, value):
     assert not set(masked[6:-2]) & set("{}[]:,<>()#")
 
 
+def test_nothing_to_guard_is_the_same(spark):
+    """The short way for texts without delimiters in quotes, and long texts."""
+    texts = ['{"a":"x"}', '{"a":"x,y"}', '"', 'a"b"c"', '{"a":"\\n"}', '"x"' * 20_000, '"' + "y" * 300_000 + '"', '{"q":"[' + "z" * 300_000 + '"}', "\n", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, got in zip(texts, [r.g for r in frame.select(T.guard_quoted("t").alias("g")).collect()]):
+        want = re.sub(r'"((?:[^"\\]|\\.)*+)"', lambda m: '"' + "".join(T.GUARDS.get(c, c) for c in m[1]) + '"', t)
+        assert got == want
+
+
 def test_strict_quote_loses_its_backslash(spark):
     frame = spark.sql("select named_struct('s', 'a\"b') v")
     masked, back = frame.select(T.mask("v", True), T.unguard(T.mask("v", True), True)).first()
@@ -74,6 +83,7 @@ WORDS = st.text(alphabet='ab1":,{}[] \n.-', max_size=40)
 @given(st.lists(WORDS, min_size=20, max_size=20))
 def test_fence_equals_the_plain_pattern(spark, texts):
     """The anchored key pattern against the one that backtracks."""
+    # A fixed pattern: the format's own rule, as the yardstick.
     plain = re.compile(r'((?:"[^"]*"|[^:,{}]*)\s*:\s*(?:"[^"]*"|[\d.]+|true|false|null))')
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fence("t", True).alias("f"), T.unfence(T.fence("t")).alias("u")).collect()
     for r in rows:
