@@ -1,27 +1,33 @@
 """Language identification of whole texts, and spans of mixed-language text.
 
-Script ranges narrow the languages that a word can belong to: a language stays a candidate for a word if it was seen
-often enough in the script of the word's letters. Over the candidates each word has log-likelihoods from its character
-n-grams. A Viterbi search over the words with a switching penalty then labels spans. Documents advance together, word by
-word; each different word is scored once. The text's language is the one with most letters on the path.
+Script ranges narrow the languages that a word can belong to: a token is cut where the script of its letters changes, and
+a language is a candidate for a word only if it was seen often enough in that script; the others are excluded, however
+little a switch costs. (A script that no learned language was seen in excludes none.) Over the candidates each word has
+log-likelihoods from its character n-grams. A Viterbi search over the words with a switching penalty then labels spans.
+Documents advance together, word by word; each different word is scored once. The text's language is the one with most
+letters on the path. A run of more than LONGEST letters is several words, so that memory is bounded.
 
-Fitting uses at most SAMPLE documents (the first by a hash of their text, equal texts once).
+Fitting uses at most SAMPLE documents of at most SAMPLE_BYTES together (the first by a hash of their text, equal texts
+once).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
-from .toxicity import held_out
+from .common import Scratch, held_out, small_batches, table
 
-SAMPLE = 4_000
+SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
+#: Letters of the longest word, and letters that are scored together.
+LONGEST, SCORED = 4_096, 200_000
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 18
 SMOOTH = 0.3
@@ -77,6 +83,18 @@ def letters_of(token: str) -> str:
     return low if low.isalpha() else "".join(c for c in low if c.isalpha())
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> int:
+    return int(SCRIPT_OF[np.searchsorted(STARTS, ord(letter), "right") - 1])
+
+
+def words_of(token: str) -> list[str]:
+    """The token's letters, cut where their script changes and after LONGEST letters."""
+    low = letters_of(token)
+    runs = [low] if low.isascii() else ["".join(g) for _, g in groupby(low, _script)]
+    return [r[i : i + LONGEST] for r in runs for i in range(0, len(r), LONGEST)]
+
+
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all words, each with a border on both sides, and the index of the word of each."""
     text = "".join(f"\x02{w}\x03" for w in words)
@@ -103,7 +121,9 @@ class Model:
     langs: list[str]
     logs: np.ndarray  # BUCKETS x languages
     allowed: np.ndarray  # scripts x languages
-    known: dict[str, int] = field(default_factory=dict, repr=False)
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)  # the words of a token
+    words: list[str] = field(default_factory=list, repr=False)
+    sizes: np.ndarray | None = field(default=None, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -115,31 +135,34 @@ class Model:
         s = np.add.reduceat(self.logs[buckets[order]], starts, axis=0)
         # The n-grams of a word overlap, so their sum counts each letter several times.
         s = s / len(ORDERS)
-        first = np.array([ord(w[0]) for w in words])
-        script = SCRIPT_OF[np.searchsorted(STARTS, first, "right") - 1]
-        ok = self.allowed[script]
-        s = np.where(ok | ~ok.any(1, keepdims=True), s, -np.inf)
-        return np.maximum(s - s.max(1, keepdims=True), -SPREAD).astype(np.float32)
+        ok = self.allowed[[_script(w[0]) for w in words]]
+        ok |= ~ok.any(1, keepdims=True)
+        s = np.where(ok, s, -np.inf)
+        return np.where(ok, np.maximum(s - s.max(1, keepdims=True), -SPREAD), -np.inf).astype(np.float32)
 
     def index(self, tokens: set[str]) -> None:
-        """Scores the tokens that are new; a token without letters gets -1."""
+        """Scores the words of tokens that are new."""
         if self.scores is None or len(self.known) > REMEMBERED:
-            self.known, self.scores = {}, np.zeros((0, len(self.langs)), np.float32)
-        new = [(t, letters_of(t)) for t in tokens.difference(self.known)]
-        with_letters = [(t, w) for t, w in new if w]
-        self.known.update((t, -1) for t, w in new if not w)
-        if with_letters:
-            self.known.update((t, i) for i, (t, _) in enumerate(with_letters, len(self.scores)))
-            parts = [self.word_scores([w for _, w in with_letters[i : i + 20_000]]) for i in range(0, len(with_letters), 20_000)]
-            self.scores = np.concatenate([self.scores, *parts])
-
-    def paths(self, texts: list[str | None], together: int = 256) -> list[tuple[list[str], np.ndarray]]:
-        """For each text its words that hold letters, and the language of each on the best path."""
+            self.known, self.words, self.sizes, self.scores = {}, [], np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
+        new, shown = [], []
+        for t in sorted(tokens.difference(self.known)):
+            runs = words_of(t)
+            at = len(self.words) + len(new)
+            self.known[t] = tuple(range(at, at + len(runs)))
+            new += runs
+            shown += [t] if len(runs) == 1 else runs
+        if new:
+            sizes = np.array([len(w) for w in new])
+            cuts = [0, *(np.nonzero(np.diff(np.cumsum(sizes) // SCORED))[0] + 1).tolist(), len(new)]
+            self.scores = np.concatenate([self.scores, *[self.word_scores(new[a:b]) for a, b in zip(cuts, cuts[1:])]])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.words += shown
+
+    def paths(self, texts: list[str | None], together: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers of its words, and the language of each on the best path."""
         split = [(t or "").split() for t in texts]
         self.index({w for ws in split for w in ws})
-        known = self.known
-        kept = [[w for w in ws if known[w] >= 0] for ws in split]
-        rows = [np.fromiter((known[w] for w in ws), np.int64, len(ws)) for ws in kept]
+        rows = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, ws)), np.int64) for ws in split]
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: -len(rows[i]))
         at = 0
@@ -150,13 +173,13 @@ class Model:
             for i, p in zip(group, self._viterbi([rows[i] for i in group])):
                 out[i] = p
             at += wide
-        return list(zip(kept, out))
+        return list(zip(rows, out))
 
     def _viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
         """rows: from long to short, so that those still running are a prefix."""
         k, n = len(self.langs), np.array([len(r) for r in rows])
         top = int(n[0])
-        back = np.zeros((top, len(rows), k), np.int8)
+        back = np.zeros((top, len(rows), k), np.int16)
         value = np.stack([self.scores[r[0]] for r in rows])
         grid = np.zeros((top, len(rows)), np.int64)
         for j, r in enumerate(rows):
@@ -172,7 +195,7 @@ class Model:
             back[t, :m] = np.where(stay, own, best[:, None])
             value[:m] = np.where(stay, v, jump) + self.scores[grid[t, :m]]
         state = value.argmax(1)
-        path = np.zeros((top, len(rows)), np.int8)
+        path = np.zeros((top, len(rows)), np.int16)
         for t in range(top - 1, -1, -1):
             m = running[t]
             path[t, :m] = state[:m]
@@ -186,7 +209,7 @@ class Model:
             if not len(path):
                 out.append((UND, 0.0))
                 continue
-            weight = np.bincount(path, weights=[len(w) for w in words], minlength=len(self.langs))
+            weight = np.bincount(path, weights=self.sizes[words], minlength=len(self.langs))
             best = int(weight.argmax())
             out.append((self.langs[best], float(weight[best] / weight.sum())))
         return out
@@ -195,10 +218,10 @@ class Model:
         """Runs of words of one language: (language, words joined by spaces)."""
         words, path = self.paths([text])[0]
         cuts = [0, *(np.nonzero(np.diff(path))[0] + 1).tolist(), len(words)]
-        return [(self.langs[path[a]], " ".join(words[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
+        return [(self.langs[path[a]], " ".join(self.words[w] for w in words[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "scores": None}
+        return self.__dict__ | {"known": {}, "words": [], "sizes": None, "scores": None}
 
 
 def fit(texts: list[str | None], langs: list[str]) -> Model | None:
@@ -207,10 +230,10 @@ def fit(texts: list[str | None], langs: list[str]) -> Model | None:
     counts = np.zeros((BUCKETS, len(names)))
     scripts = np.zeros((len(NAMES), len(names)))
     for text, lang in zip(texts, langs):
-        words = [w for t in (text or "").split() if (w := letters_of(t))]
+        words = [w for t in (text or "").split() for w in words_of(t)]
         if words:
             k = names.index(lang)
-            np.add.at(counts[:, k], _grams(words)[0], 1)
+            counts[:, k] += np.bincount(_grams(words)[0], minlength=BUCKETS)
             codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
             np.add.at(scripts[:, k], SCRIPT_OF[np.searchsorted(STARTS, codes, "right") - 1], 1)
     if not counts.any():
@@ -222,13 +245,16 @@ def fit(texts: list[str | None], langs: list[str]) -> Model | None:
     return Model(names, logs.astype(np.float32), allowed)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fits on at most sample documents whose language is not null."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model | None:
+    """Fits on at most sample documents, and size bytes, whose language and id are not null."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    picked = rows.select("id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("by")).groupBy("h").agg(F.min("by").alias("by"), F.min("id").alias("id"))
-    picked = scratch.save(picked.orderBy("by").limit(sample).select("id", "h"))
+    picked = rows.select("id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("by"), F.octet_length("text").alias("n")).groupBy("h").agg(F.min("by").alias("by"), F.min("id").alias("id"), F.min("n").alias("n"))
+    # A window over at most sample rows.
+    picked = picked.orderBy("by").limit(sample).withColumn("upto", F.sum("n").over(Window.orderBy("by", "h")))
+    picked = scratch.save(picked.where(F.col("upto") <= size).select("id", "h"))
     got = rows.withColumn("h", F.xxhash64("text")).join(picked, ["id", "h"]).select("text", "lang").toArrow()
+    scratch.only()
     pairs = sorted(zip(got["text"].to_pylist(), got["lang"].to_pylist()))
     return fit([p[0] for p in pairs], [p[1] for p in pairs])
 
@@ -245,7 +271,7 @@ def _runner(shared):
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, lang_pred, score. Null, empty and letterless texts are und with score 0; ties go to
-    the first language by name. Repeated rows repeat. Other columns are not read."""
+    the first language by name. Long texts are labelled whole. Repeated rows repeat. Other columns are not read."""
     spark = docs.sparkSession
     small_batches(spark, 1000, "4m")
     shared = spark.sparkContext.broadcast(model)
@@ -256,6 +282,6 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 def op5_lang_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out("doc_id", 3, 1)))
+    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)))
     found = identify(docs, model)
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")

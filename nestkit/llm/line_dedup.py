@@ -7,10 +7,15 @@ distinct pairs, and a range-partitioned sort of those pairs, whose running count
 grouped by line, so a line that makes up much of the corpus is dealt over all tasks like the rest. Suffixes that no longer tie, or
 whose run meets the document's end or a line that occurs once, drop out of the rounds.
 
-Neighbours in the suffix array get their longest common prefix from the ranks of all rounds, from long to short. The
-intervals with a common prefix of at least MIN_LINES lines are the repeated runs. All of a run's copies but the first
-(by id, then line) are deleted. A single line counts as a run if it has LONG_WORDS words. Runs do not cross
-documents; blank lines are not part of the sequence and stay.
+Suffixes that share their first n lines are an interval of the suffix array, with a longest common prefix of n lines or
+more. A descent from long prefixes to short ones finds for each suffix the longest one that it shares with a suffix that
+comes earlier in the corpus (by id, then line): the maximal repeated run that starts there and is a later copy. At step k
+an interval splits by the ranks of the next 2^k lines. All members of a part but the earliest go down into it, and take
+the earliest along as a witness; the earliest itself searches on in the interval that it came from. The runs' lines,
+joined where runs overlap, are deleted, so of each run the first copy stays.
+
+A run counts if it has MIN_LINES lines, or is a line of at least LINE_CHARS characters. Runs do not cross documents; blank
+lines are not part of the sequence and stay.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import Scratch, table
 
-#: Lines of the shortest run; a power of two.
+#: Lines of the shortest run.
 MIN_LINES = 2
-LONG_WORDS = 50
+#: Characters of the shortest single line that is a run: about ten words, where chance repeats end.
+LINE_CHARS = 50
 SPACES = " \t\n\x0b\f\r"
 KEY = ["d1", "d2"]
 
@@ -32,14 +38,6 @@ def _document(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("d1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("d2")]
 
 
-def _has_words(line: Column, least: int) -> Column:
-    """Whether a line has so many words: one pass without backtracking, which ends at the last word asked for. A line
-    too short for a character a word and a space between them is not looked at."""
-    space = r"[\x20\x09-\x0D]"
-    enough = line.rlike(f"^{space}*+(?:{WORD}+{space}++){{{least - 1}}}{WORD}")
-    return F.when(F.length(line) >= 2 * least - 1, enough).otherwise(F.lit(False))
-
-
 def _offsets(sizes: DataFrame) -> DataFrame:
     """pid, before: how much lies in the partitions before each; sizes (pid, n) has one row a partition."""
     offsets, total = [], 0
@@ -57,20 +55,13 @@ def _starts(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     return scratch.save(ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "pid").withColumn("rank", F.col("before") + F.col("inside")).drop("pid", "before", "inside"))
 
 
-def suffix_array(lines: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES) -> DataFrame:
-    """lines: d1, d2, id, idx, len (lines left in the document), long, h1, h2 (the line). Returns those whose line
-    repeats, with rank (its place in the suffix array, equal for suffixes that end alike), ranks (of each round k in
-    which the next 2^k lines exist and only hold repeated lines; equal ranks mean equal lines), first (copies of the
-    line), run (the rank that all copies of the next min_lines lines share) and copies (their number)."""
+def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """lines: d1, d2, id, idx, long, h1, h2 (the line). Returns those whose line repeats, with rank (its place in the
+    suffix array, equal for suffixes that end alike) and ranks (of each round k in which the next 2^k lines exist and
+    only hold repeated lines; equal ranks mean equal lines)."""
     groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
     named = lines.join(scratch.small(_starts(groups, ["h1", "h2"], scratch)), ["h1", "h2"])
-    one = min_lines == 1
-    now = scratch.save(
-        named.select(
-            *KEY, "id", "idx", "len", "long", "rank", F.array("rank").alias("ranks"), F.col("c").alias("first"), (F.col("rank") if one else F.lit(None).cast("long")).alias("run"),
-            (F.col("c") if one else F.lit(0).cast("long")).alias("copies"), F.lit(True).alias("open"),
-        )
-    )
+    now = scratch.save(named.select(*KEY, "id", "idx", "long", "rank", F.array("rank").alias("ranks"), F.lit(True).alias("open")))
     done, k = now.where("not open"), 0
     now = now.where("open")
     while now.limit(1).count():
@@ -82,101 +73,70 @@ def suffix_array(lines: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES)
         # A class of c suffixes owns c ranks from its own on, so ranks of different classes never meet.
         base = groups.groupBy("r1").agg(F.min("rank").alias("base"))
         groups = groups.join(base, "r1").select("r1", "r2", "c", (F.col("r1") + F.col("rank") - F.col("base")).alias("rank"))
-        named = pairs.join(groups, ["r1", "r2"])
         # A suffix that ends here takes part once more: it gets the class's first rank, before those that go on.
-        here = step * 2 == min_lines
-        named = scratch.save(
-            named.select(
-                *KEY, "id", "idx", "len", "long", "rank", F.when(F.col("whole"), F.concat("ranks", F.array("rank"))).otherwise(F.col("ranks")).alias("ranks"), "first",
-                (F.when(F.col("whole"), F.col("rank")) if here else F.col("run")).alias("run"), (F.when(F.col("whole"), F.col("c")).otherwise(0) if here else F.col("copies")).cast("long").alias("copies"),
-                (F.col("whole") & (F.col("c") > 1)).alias("open"),
-            )
-        )
+        found = F.when(F.col("whole"), F.concat("ranks", F.array("rank"))).otherwise(F.col("ranks"))
+        named = scratch.save(pairs.join(groups, ["r1", "r2"]).select(*KEY, "id", "idx", "long", "rank", found.alias("ranks"), (F.col("whole") & (F.col("c") > 1)).alias("open")))
         scratch.drop(pairs)
         done, now, k = done.unionByName(named.where("not open")), named.where("open"), k + 1
     return done.drop("open")
 
 
-def _agree(a: str, b: str) -> Column:
-    """How many of the first rounds' ranks agree."""
-    return F.coalesce(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)), F.lit(0))
-
-
-def longest_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """d1, d2, idx, lines: the longest repeated run from each line on, where it has min_lines lines or more; from the
-    common prefixes of neighbours in the suffix array."""
-    wanted = suffixes.where("copies > 1").select(*KEY, "id", "idx", "len", "rank", "ranks", "run")
-    order = ["rank", "id", *KEY, "idx"]
-    ranged = scratch.save(wanted.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()))
-    row = F.struct(*[F.col(c) for c in (*KEY, "idx", "len", "ranks", "run")])
-    key = F.struct(*order)
-    ends = ranged.groupBy("pid").agg(F.max_by(row, key).alias("before")).withColumn("pid", F.col("pid"))
-    # One row a partition: the last row of the partition before.
-    ends = ends.withColumn("pid", F.lead("pid").over(Window.orderBy("pid"))).where("pid is not null")
-    along = Window.partitionBy("pid").orderBy(*order)
-    pairs = ranged.withColumn("prev", F.lag(row).over(along)).join(F.broadcast(ends), "pid", "left").withColumn("prev", F.coalesce("prev", "before"))
-    pairs = pairs.where("prev.run = run").select(
-        *[F.col(c).alias(f"a_{c}") for c in (*KEY, "idx", "len")], *[F.col(f"prev.{c}").alias(f"b_{c}") for c in (*KEY, "idx", "len")],
-        F.col("ranks").alias("x"), F.col("prev.ranks").alias("y"), F.lit(0).cast("long").alias("lcp"), F.lit(True).alias("open"),
-    )
-    finished = None
-    columns = [f"{s}_{c}" for s in "ab" for c in (*KEY, "idx", "len")]
-    while True:
-        n = _agree("x", "y")
-        grown = F.when(n > 0, F.col("lcp") + F.pow(F.lit(2), n - 1).cast("long")).otherwise(F.col("lcp"))
-        left = F.least("a_len", "b_len")
-        moved = pairs.select(*columns, F.least(grown, left.cast("long")).alias("lcp"), ((n > 0) & (grown < left)).alias("open"))
-        moved = scratch.save(moved)
-        part = moved.where("not open")
-        finished = part if finished is None else finished.unionByName(part)
-        now = moved.where("open")
-        if not now.limit(1).count():
-            break
-        for side, name in (("a", "x"), ("b", "y")):
-            ahead = suffixes.select(F.col("d1").alias(f"{side}_d1"), F.col("d2").alias(f"{side}_d2"), F.col("idx").alias("at"), F.col("ranks").alias(name))
-            # A line that occurs once has no row: the prefix ends there.
-            now = now.withColumn("at", (F.col(f"{side}_idx") + F.col("lcp")).cast("int")).join(ahead, [f"{side}_d1", f"{side}_d2", "at"], "left").drop("at")
-        pairs = now
-    both = [finished.select(*[F.col(f"{s}_{c}").alias(c) for c in (*KEY, "idx")], "lcp") for s in "ab"]
-    return both[0].unionByName(both[1]).groupBy(*KEY, "idx").agg(F.max("lcp").alias("lines"))
-
-
-def _later(suffixes: DataFrame, name: str, length: int, scratch: Scratch) -> DataFrame:
-    """d1, d2, idx of the lines in all copies but the first of the runs called name."""
+def later_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """suffixes with lines: the length of the longest run from there on that has an earlier copy; only where there is one."""
+    top = suffixes.agg(F.max(F.size("ranks"))).first()[0] or 0
     place = F.struct("id", *KEY, "idx")
-    # A written table: the join can then be split where one run has most of the rows.
-    first = scratch.save(suffixes.groupBy(name).agg(F.min(place).alias("earliest")))
-    later = suffixes.join(scratch.small(first), name).where(place != F.col("earliest"))
-    return later.select(*KEY, F.explode(F.sequence("idx", F.col("idx") + (length - 1))).alias("idx"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """One row per row of docs: id, n_lines, n_deleted, longest_run (lines of the longest repeated run that starts in the
-    document, 0 if none has min_lines), text without the later copies.
-
-    A null text stays null with 0 lines. Rows that repeat id and text count as one document and get equal results. Null
-    ids come first in the order of copies. A line's first copy always stays, so no line vanishes from the corpus. An
-    empty table gives an empty result. Other columns are not read.
+    state = scratch.save(suffixes.select(*KEY, "id", "idx", "long", "ranks", F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(True).alias("seeks")))
+    for k in range(top - 1, -1, -1):
+        ahead = suffixes.where(F.size("ranks") > k).select(*KEY, F.col("idx").alias("at"), F.get("ranks", F.lit(k)).alias("r"))
+        here = state.where("lines = 0").withColumn("r", F.get("ranks", F.lit(k)))
+        beyond = state.where("lines > 0").withColumn("at", (F.col("idx") + F.col("lines")).cast("int")).join(ahead, [*KEY, "at"], "left").drop("at")
+        named = scratch.save(here.unionByName(beyond))
+        parts = named.where("r is not null").groupBy("c1", "c2", "r").agg(F.min(place).alias("first"), F.min_by("seeks", place).alias("first_seeks"), F.count_if("seeks").alias("seeking"), F.count("*").alias("c"))
+        # A part matters if another member than its earliest seeks.
+        parts = parts.where("c > 1").select("c1", "c2", "r", "first", (F.col("seeking") > F.col("first_seeks").cast("int")).alias("goes"))
+        parts = scratch.save(parts)
+        joined = named.join(scratch.small(parts), ["c1", "c2", "r"], "left")
+        earliest = place == F.col("first")
+        stay = F.struct(F.lit(0).alias("by"), F.col("c1").alias("n1"), F.col("c2").alias("n2"), F.col("seeks").alias("s"))
+        down = lambda seeks, k=k: F.struct(F.lit(1 << k).alias("by"), F.xxhash64("c1", "c2", "r", F.lit(k)).alias("n1"), F.xxhash64(F.lit(1), "r", "c2", "c1", F.lit(k)).alias("n2"), seeks.alias("s"))
+        none = F.filter(F.array(stay), lambda x: F.lit(False))
+        moves = F.when(F.col("first").isNull(), F.array(stay)).when(earliest & F.col("goes"), F.array(stay, down(F.lit(False)))).when(earliest, F.array(stay)).when(F.col("goes"), F.array(down(F.col("seeks")))).otherwise(none)
+        moved = joined.select(*KEY, "id", "idx", "long", "ranks", "lines", F.explode(moves).alias("m"))
+        before, state = state, scratch.save(moved.select(*KEY, "id", "idx", "long", F.when((F.col("lines") + F.col("m.by")) == 0, F.col("ranks")).alias("ranks"), (F.col("lines") + F.col("m.by")).alias("lines"), F.col("m.n1").alias("c1"), F.col("m.n2").alias("c2"), F.col("m.s").alias("seeks")))
+        scratch.drop(before, named, parts)
+    return state.where("seeks and lines > 0").select(*KEY, "id", "idx", "long", "lines")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, line_chars: int = LINE_CHARS) -> DataFrame:
+    """One row per row of docs: id, n_lines, n_deleted, longest_run (lines of the longest run in the document that is a
+    later copy and counts; 0 if there is none), text without the later copies.
+
+    A null text stays null with 0 lines. Long texts are read whole. Rows that repeat id and text count as one document and
+    get equal results. Null ids come first in the order of copies. A line's first copy always stays, so no line vanishes
+    from the corpus; a run may overlap its own copy. An empty table gives an empty result. Other columns are not read.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
+    if min_lines < 1:
+        raise ValueError("min_lines must be at least 1")
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = source.select("id", "text", *_document("id", "text"))
     content = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    each = keyed.where("text is not null").select(*KEY, "id", content.alias("ls")).select(*KEY, "id", F.size("ls").alias("n"), F.posexplode("ls").alias("idx", "line"))
-    lines = each.select(*KEY, "id", "idx", (F.col("n") - F.col("idx")).alias("len"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _has_words(F.col("line"), long_words).alias("long"))
-    lines = scratch.save(lines)
+    each = keyed.where("text is not null").select(*KEY, "id", F.posexplode(content).alias("idx", "line"))
+    lines = scratch.save(each.select(*KEY, "id", "idx", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.length("line") >= line_chars).alias("long")))
     # Equal rows are one document: each place of it once.
     repeated = lines.where("idx = 0").groupBy(*KEY).count().where("count > 1").select(*KEY)
     if repeated.limit(1).count():
         lines = lines.join(repeated, KEY, "left_anti").unionByName(lines.join(repeated, KEY, "left_semi").dropDuplicates([*KEY, "idx"]))
-    suffixes = scratch.save(suffix_array(lines, scratch, min_lines))
-    runs = longest_runs(suffixes, scratch).groupBy(*KEY).agg(F.max("lines").alias("longest"))
-    gone = _later(suffixes.where("copies > 1"), "run", min_lines, scratch)
-    single = suffixes.where("long").withColumn("line", F.element_at("ranks", 1))
-    gone = gone.unionByName(_later(single, "line", 1, scratch)).distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list("idx")).alias("gone"))
-    found = scratch.save(runs.join(gone, KEY, "full"))
+    runs = later_runs(scratch.save(suffix_array(lines, scratch)), scratch)
+    # The end of the run that counts from each line on, and how far the runs before it reach.
+    end = F.when(F.col("lines") >= min_lines, F.col("idx") + F.col("lines")).when(F.col("long"), F.col("idx") + 1)
+    runs = runs.withColumn("end", end.cast("int")).where("end is not null")
+    reached = F.max("end").over(Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("from", F.greatest("idx", F.coalesce(reached, F.lit(0))))
+    places = F.when(F.col("from") < F.col("end"), F.sequence("from", F.col("end") - 1)).otherwise(F.array().cast("array<int>"))
+    found = runs.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list(places))).alias("gone"), F.max(F.col("end") - F.col("idx")).cast("long").alias("longest"))
+    found = scratch.save(found)
+    scratch.only(found)
     # Small results go to the texts; else texts and results meet by document.
     out = keyed.join(scratch.small(found), KEY, "left").withColumn("all", F.split("text", "\n", -1))
     # ls: all lines; ps: places of those with content; then the places that stay. Each is bound once, and every step

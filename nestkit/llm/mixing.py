@@ -4,7 +4,9 @@ The mix takes each document at a rate between 0 and 2 that is as near to 1 as ca
 one copy each) while every source's words meet its target. The dual of that problem is convex and has one multiplier
 a source: rate = min(2, exp(multiplier * size / mean size of the source)). Newton steps solve it; one step is one
 aggregate over the table of (source, size, documents), kept inside a bracket by bisection. Rates become copies by
-systematic rounding along the sizes of a source, so a source's words miss the target by about one document.
+systematic rounding along the sizes of a source, so a source's words miss the target by about one document. Documents of
+one source and size take leftover copies in the order of a hash of the id; where that order is cut is found exactly, by
+counting the hash's digits, so no group of documents is sorted in one task.
 """
 
 from __future__ import annotations
@@ -14,14 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, fresh, table
 
 CAP = 2.0
-#: Up to this many documents of one source and size, the extra copies go to exact ranks; beyond it to hash thresholds,
-#: whose deviation is then below a percent.
-RANKED = 1000
-#: Hashes that order documents of one source and size are below this.
-SPAN = 1 << 52
+#: Hashes that order documents of one source and size have ROUNDS digits of DIGIT bits.
+DIGIT, ROUNDS = 13, 4
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
@@ -63,8 +62,8 @@ def _solve(cells: DataFrame, state: DataFrame, scratch: Scratch, tolerance: floa
         before, state = state, scratch.save(moved)
         scratch.drop(before)
         if not state.where("not solved").limit(1).count():
-            break
-    return state
+            return state
+    raise RuntimeError(f"multipliers are not solved after {most} steps")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict:
@@ -72,7 +71,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict
     return {
         "skey": F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))),
         "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-        "u": F.xxhash64(F.col(id_col), F.lit("copies")).bitwiseAND(F.lit(SPAN - 1)),
+        "u": F.xxhash64(F.col(id_col), F.lit("copies")).bitwiseAND(F.lit((1 << (DIGIT * ROUNDS)) - 1)),
     }
 
 
@@ -107,39 +106,65 @@ def plan(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_c
     total = F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))
     rated = rated.withColumn("total", F.greatest(F.lit(0), F.least(total, CAP * F.col("docs"))).cast("long"))
     rated = scratch.save(rated.select("skey", "size", "docs", "source_size", "target", "rate", F.expr("total div docs").alias("each"), F.expr("total % docs").alias("rest")))
-    # At most RANKED rows share a window; the other sizes go by a threshold that needs no ranks.
-    few = narrow.join(scratch.small(rated.where(f"rest > 0 and docs <= {RANKED}").select("skey", "size", "rest"), of=rated), ["skey", "size"])
-    few = few.withColumn("rn", F.row_number().over(Window.partitionBy("skey", "size").orderBy("u")))
-    few = few.where("rn <= rest").groupBy("skey", "size").agg((F.max("u") + 1).alias("exact"))
-    cut = F.when(F.col("rest") == 0, F.lit(0)).otherwise(F.coalesce("exact", (F.lit(float(SPAN)) * F.col("rest") / F.col("docs")).cast("long")))
-    return narrow, scratch.save(rated.join(few, ["skey", "size"], "left").select("skey", "size", "source_size", "target", "rate", "each", cut.cast("long").alias("cut")))
+    cuts = _cuts(narrow, rated.where("rest > 0").select("skey", "size", "rest"), scratch)
+    done = rated.join(scratch.small(cuts), ["skey", "size"], "left")
+    return narrow, scratch.save(done.select("skey", "size", "source_size", "target", "rate", "each", F.coalesce("cut", F.lit(0)).cast("long").alias("cut")))
+
+
+def _cuts(narrow: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each source and size of wanted the least cut such that rest of its rows, counted by different ids, have a u
+    below it. A round counts one digit of u among the rows that are still in question and finds by running sums, of at
+    most 2^DIGIT rows a group, the digit at which rest is reached."""
+    state, found = scratch.save(wanted.withColumn("top", F.lit(0).cast("long"))), []
+    for k in range(ROUNDS):
+        low = DIGIT * (ROUNDS - 1 - k)
+        digit = F.shiftright("u", low).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        rows = narrow.join(scratch.small(state), ["skey", "size"]).where(F.shiftright("u", low + DIGIT) == F.col("top"))
+        counts = rows.groupBy("skey", "size", "top", "rest", digit.alias("digit")).agg(F.count("*").alias("c"), F.max("u").alias("last"), F.min("u").alias("first"))
+        along = Window.partitionBy("skey", "size").orderBy("digit")
+        counts = counts.withColumn("upto", F.sum("c").over(along))
+        # The digit at which rest is reached; a row less than all of it means another round.
+        at = scratch.save(counts.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest"))))
+        whole = (F.col("upto") == F.col("rest")) | (F.col("first") == F.col("last"))
+        found.append(at.where(whole).select("skey", "size", (F.col("last") + 1).alias("cut")))
+        left = F.col("rest") - (F.col("upto") - F.col("c"))
+        state = scratch.save(at.where(~whole).select("skey", "size", left.alias("rest"), ((F.col("top") * (1 << DIGIT)) + F.col("digit")).alias("top")))
+        if not state.limit(1).count():
+            break
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return scratch.save(out)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
     """One row per row of docs: id, size (words), source_size, target (of its source), taken (words), rate, copies.
 
-    A null text has size 0, a null source is a source of its own and comes last. A document of size 0 has rate 1 and
+    A null text has size 0, a null source is a source of its own and comes last. Long texts are counted whole. A document of size 0 has rate 1 and
     one copy. Of documents of one source and size those with the smaller hash of the id take the copies left over; rows
     that repeat an id take the same number. Reruns agree. A source whose target is twice its size takes every document
     twice. An empty table gives an empty result. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     narrow, cells = plan(docs, scratch, id_col, text_col, source_col, weights, share)
+    scratch.only(narrow, cells)
     copies = F.col("each") + (F.col("u") < F.col("cut")).cast("long")
     found = narrow.join(scratch.small(cells), ["skey", "size"])
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "rate", copies.alias("copies"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """docs with each row as often as the mix takes it; all columns stay. Copies follow from a row's source, size and
-    id, so texts do not move where the table of sources and sizes is small enough to go to them."""
+    """docs with each row as often as the mix takes it; all columns stay, whatever their names. Copies follow from a
+    row's source, size and id, so texts do not move where the table of sources and sizes is small enough to go to them."""
     scratch = Scratch(docs.sparkSession)
     _, cells = plan(docs, scratch, id_col, text_col, source_col, weights, share)
-    cells = scratch.save(cells.select(F.col("skey").alias("_skey"), F.col("size").alias("_size"), "each", "cut").withColumnsRenamed({"each": "_each", "cut": "_cut"}))
+    skey, size, u, each, cut = names = fresh(docs, "skey", "size", "u", "each", "cut")
+    cells = scratch.save(cells.select(*[F.col(c).alias(n) for c, n in zip(("skey", "size", "each", "cut"), (skey, size, each, cut))]))
+    scratch.only(cells)
     keys = _keyed(docs, id_col, text_col, source_col)
-    joined = docs.withColumns({f"_{n}": e for n, e in keys.items()}).join(scratch.small(cells), ["_skey", "_size"])
-    times = F.array_repeat(F.lit(0), (F.col("_each") + (F.col("_u") < F.col("_cut")).cast("long")).cast("int"))
-    return joined.withColumn("_u", F.explode(times)).select(*[docs.columns[i] for i in range(len(docs.columns))])
+    joined = docs.withColumns(dict(zip(names, keys.values()))).join(scratch.small(cells), [skey, size])
+    times = F.array_repeat(F.lit(0), (F.col(each) + (F.col(u) < F.col(cut)).cast("long")).cast("int"))
+    return joined.select(*docs.columns, F.explode(times).alias(u)).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,7 @@ class Pieces:
     pair_keys: np.ndarray  # BPE: left id * size + right id, sorted, of all pairs that merge
     pair_ranks: np.ndarray
     splitter: str | None  # a pattern of words that no piece crosses
+    finer: str | None = None  # a pattern of their parts, where characters stand that no longer piece holds
     cache_keys: np.ndarray | None = field(default=None, repr=False)
     cache_ok: np.ndarray | None = field(default=None, repr=False)
 
@@ -109,14 +110,32 @@ class Pieces:
         line = "" if any("\n" in texts[i] for i in usable) else "\n"
         splitter = None if inner else f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+".lstrip("|")
         unk = int(np.nonzero(kinds == UNKNOWN)[0][0])
-        return cls(texts, scores, bpe, unk, byte_ids, norm.add_dummy_prefix, usable, rank, left, right, np.array(keys, np.int64)[by], np.array(ranks, np.int64)[by], splitter)
+        # Nothing joins a character that is in no longer piece, so a word can be cut on both sides of it. Without byte
+        # pieces a run of unknown characters is one piece, and only characters of the vocabulary are cut out.
+        joined = {c for i in usable for c in texts[i] if len(texts[i]) > 1}
+        alone = {texts[i] for i in usable if len(texts[i]) == 1} - joined
+        group = lambda chars: "".join(map(re.escape, sorted(chars)))
+        if byte_ids is not None:
+            finer = f"[{group(joined)}]+|(?s:.)" if joined else "(?s:.)"
+        else:
+            finer = f"[{group(alone)}]|[^{group(alone)}]+" if alone else None
+        return cls(texts, scores, bpe, unk, byte_ids, norm.add_dummy_prefix, usable, rank, left, right, np.array(keys, np.int64)[by], np.array(ranks, np.int64)[by], splitter, finer)
 
     def words(self, text: str | None) -> list[str]:
         """The normalised text, cut where no piece crosses."""
         if not text:
             return []
         text = (" " * self.dummy_prefix + text).replace(" ", SPACE)
-        return re.findall(self.splitter, text) if self.splitter else [text]
+        words = re.findall(self.splitter, text) if self.splitter else [text]
+        if self.finer is None or text.replace(SPACE, " ").isascii():
+            return words
+        out: list[str] = []
+        for w in words:
+            if w.isascii() or w[0] == SPACE and w[1:].isascii():
+                out.append(w)
+            else:
+                out += re.findall(self.finer, w)
+        return out
 
     def unknown(self, char: str) -> list[int]:
         return [self.unk] if self.bytes_ is None else self.bytes_[list(char.encode())].tolist()

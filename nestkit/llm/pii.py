@@ -1,7 +1,9 @@
 """PII: format-preserving pseudonyms by a keyed Feistel permutation, with SQL expressions only.
 
-Validated numbers (payment cards, phone numbers, social security numbers, IPv4 addresses, IBANs), calendar dates and
-the local parts of e-mail addresses become other values of the same format. The permutation depends on the key, the
+Validated numbers (payment cards, phone numbers, social security numbers, IPv4 and full IPv6 addresses, IBANs), calendar
+dates and the local parts of e-mail addresses become other values of the same format. Phone numbers are those of North
+America with a separator or +1, and international ones with + and 8 to 15 digits, whose country code stays; dates are
+those from FIRST_DAY to LAST_DAY. The permutation depends on the key, the
 kind and the format alone, so equal values stay linked across documents and different values stay different. Numbers
 that fail their check (Luhn, mod 97, ranges, calendar) stay as they are; a card or an IBAN is also found where the match
 takes in numbers or words beside it. Everything happens within a row: no shuffle.
@@ -13,6 +15,8 @@ values, the permutation is repeated until it meets one (cycle walking).
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +34,16 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: Longer than a card: others can stand beside it.
+CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,45}(?![0-9A-Za-z])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
-KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD}
+#: Ten digits alone are no phone number.
+PHONE = r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-])?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}|\+1(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4})(?![0-9A-Za-z])"
+E164 = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){2,7}(?![0-9A-Za-z])"
+IPV6 = r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"
+#: The country codes of two digits. 1 and 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+KINDS = {"email": EMAIL, "iban": IBAN, "date": DATE, "ipv4": IPV4, "ipv6": IPV6, "ssn": SSN, "phone": PHONE, "e164": E164, "card": CARD}
 PATTERN = "|".join(KINDS.values())
 
 
@@ -99,14 +109,20 @@ def _edges(m: str) -> tuple[str, str]:
     return edge("1", "p - 1"), edge(f"length({m})", "p + 1")
 
 
-def _card(m: str, key: str) -> str:
-    """A card; where the whole match is none, the longest part between separators that is one (the first of equals)."""
+def _within(m: str, least: int, valid: str, make) -> str:
+    """m with the parts between separators that are valid made anew, from left to right, the longest from each start.
+    valid is SQL about d, a part's letters and digits; make gives the SQL of a part w."""
     starts, stops = _edges(m)
-    valid = _let("d", _plain(f"substr({m}, b, e - b + 1)"), f"length(d) between 13 and 19 and {_luhn_sum('d')} % 10 = 0 and d rlike '[1-9]'")
-    parts = f"flatten(transform({starts}, b -> transform(filter({stops}, e -> e - b >= 12 and {valid}), e -> struct(e - b + 1 as n, -b as b))))"
-    cut = f"concat(substr({m}, 1, -z.b - 1), {_let('w', f'substr({m}, -z.b, z.n)', _whole_card('w', key))}, substr({m}, z.n - z.b))"
-    within = _let("z", f"array_max({parts})", f"if(z is null, {m}, {cut})")
-    return f"if({_luhn_sum(_plain(m))} % 10 = 0, {_whole_card(m, key)}, {within})"
+    fits = _let("d", _plain(f"substr({m}, b, e - b + 1)"), valid)
+    put = f"struct(concat(a.o, substr({m}, a.k, b - a.k), {_let('w', f'substr({m}, b, z - b + 1)', make('w'))}) as o, z + 1 as k)"
+    step = f"if(b < a.k, a, {_let('z', f'array_max(filter({stops}, e -> e - b >= {least - 1} and {fits}))', f'if(z is null, a, {put})')})"
+    return f"aggregate({starts}, struct('' as o, 1 as k), (a, b) -> {step}, a -> concat(a.o, substr({m}, a.k)))"
+
+
+def _card(m: str, key: str) -> str:
+    """A card; where the whole match is none, the parts that are one, if they start as payment cards do."""
+    within = _within(m, 13, f"length(d) between 13 and 19 and d rlike '^[2-6]' and {_luhn_sum('d')} % 10 = 0", lambda w: _whole_card(w, key))
+    return _let("cd", _plain(m), f"if(length(cd) <= 19 and {_luhn_sum('cd')} % 10 = 0, {_whole_card(m, key)}, {within})")
 
 
 def _whole_card(m: str, key: str) -> str:
@@ -138,14 +154,22 @@ def _ipv4(m: str, key: str) -> str:
     return f"if({valid}, {new}, {m})"
 
 
+def _ipv6(m: str, key: str) -> str:
+    symbols = f"transform(filter(split({m}, ''), c -> c not in ('', ':')), c -> cast(conv(c, 16, 10) as int))"
+    new = f"array_join(transform({_feistel('sy', 'ra', _q('ipv6'), key)}, s -> lower(hex(s))), '')"
+    return _let("sy", symbols, _let("ra", "transform(sy, x -> 16)", _let("nd", new, _refill(m, "nd"))))
+
+
+def _e164(m: str, key: str) -> str:
+    """An international number: the digits behind the country code are permuted."""
+    code = f"if(d rlike '^[17]', 1, if(substr(d, 1, 2) in ({', '.join(map(_q, TWO_DIGITS))}), 2, 3))"
+    new = _let("nd", f"concat(substr(d, 1, cl), {_chars('substr(d, cl + 1)', _q('e164') + ' || substr(d, 1, cl)', key)})", _refill(m, "nd"))
+    return _let("d", _plain(m), f"if(length(d) between 8 and 15, {_let('cl', code, new)}, {m})")
+
+
 def _iban(m: str, key: str) -> str:
-    """An IBAN; where the whole match is none, the parts between spaces that are one, from left to right, the longest
-    from each start."""
-    starts, stops = _edges(m)
-    valid = _let("d", _plain(f"substr({m}, b, e - b + 1)"), f"length(d) between 15 and 34 and d rlike '^[A-Z]{{2}}[0-9]{{2}}' and {_mod97('d')} = 1")
-    put = f"struct(concat(a.o, substr({m}, a.k, b - a.k), {_let('w', f'substr({m}, b, z - b + 1)', _whole_iban('w', key))}) as o, z + 1 as k)"
-    step = f"if(b < a.k, a, {_let('z', f'array_max(filter({stops}, e -> e - b >= 14 and {valid}))', f'if(z is null, a, {put})')})"
-    within = f"aggregate({starts}, struct('' as o, 1 as k), (a, b) -> {step}, a -> concat(a.o, substr({m}, a.k)))"
+    """An IBAN; where the whole match is none, the parts that are one."""
+    within = _within(m, 15, f"length(d) between 15 and 34 and d rlike '^[A-Z]{{2}}[0-9]{{2}}' and {_mod97('d')} = 1", lambda w: _whole_iban(w, key))
     return f"if({_mod97(_plain(m))} = 1, {_whole_iban(m, key)}, {within})"
 
 
@@ -176,7 +200,7 @@ def _email(m: str, key: str) -> str:
     return _let("d", _plain(name), f"if(d = '', {m}, concat({_let('nd', _chars('d', _q('email'), key), _refill(name, 'nd'))}, '@', substring_index({m}, '@', -1)))")
 
 
-MAKERS = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "card": _card}
+MAKERS = {"email": _email, "iban": _iban, "date": _date, "ipv4": _ipv4, "ipv6": _ipv6, "ssn": _ssn, "phone": _phone, "e164": _e164, "card": _card}
 
 
 def pseudonym_sql(m: str, key: str) -> str:
@@ -186,11 +210,12 @@ def pseudonym_sql(m: str, key: str) -> str:
     return f"case {cases} else {m} end"
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "change-this-key") -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str) -> DataFrame:
     """One row per row of docs: id, text with pseudonyms, found (values of a known format), changed (those replaced).
 
-    A null text stays null with 0 found; texts without a match pass through. Equal values get equal pseudonyms, in
-    repeated rows too. Other columns are not read. The key is a parameter and is not stored in the result.
+    A null text stays null with 0 found; texts without a match pass through, long texts are read whole. Equal values get
+    equal pseudonyms under one key, in repeated rows too. Other columns are not read. The key is a secret of the caller and
+    is not stored in the result, but it stands in the query's plan.
     """
     hit = F.col("text").rlike(PATTERN)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -203,4 +228,6 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    """Under the key in spark.nestkit.pii.key. Without that setting a random key links values within this one result."""
+    key = spark.conf.get("spark.nestkit.pii.key", None) or secrets.token_hex(32)
+    return pseudonymise(table(spark, sf_dir, "documents"), key=key)

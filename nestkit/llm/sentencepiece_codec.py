@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi search.
 
-Texts are cut into words that no piece crosses, and each different word is solved once. Words of equal length advance
-together, one character at a time: for every start within reach, the hashes of the substrings of all words probe the
+Texts are cut into words that no piece crosses, and each different word is solved once. Words of equal length (long ones:
+of nearly equal length, each read from its own end) advance together, one character at a time: for every start within reach, the hashes of the substrings of all words probe the
 sorted keys of the pieces of that length, and a vectorised maximum stores the best score and its backpointer. Files of
 kind BPE mask the arcs by the border test of Pieces, so the ids are those of the library for the same file.
 """
@@ -77,8 +77,11 @@ class Codec:
         return rows[hit], ids[at[hit]]
 
     def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of one length, one after another, and how many each has."""
-        p, length, n = self.p, len(words[0]), len(words)
+        """Ids of words of one length or nearly so, one after another, and how many each has."""
+        p, sizes, n = self.p, np.array([len(w) for w in words]), len(words)
+        length = int(sizes.max())
+        # What fills shorter words up stands behind their ends, where no path of theirs comes.
+        words = [w.ljust(length, "\0") for w in words]
         # A row a position, so that a step touches neighbouring memory.
         codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length).T.astype(np.uint64))
         hashes = np.zeros((length + 1, n), np.uint64)
@@ -113,7 +116,7 @@ class Codec:
                 more = score > best[e, rows]
                 rows = rows[more]
                 best[e, rows], back[e, rows], last[e, rows] = score[more], e - 1, p.size
-        return self._paths(codes, back, last)
+        return self._paths(codes, sizes, back, last)
 
     def _masked(self, e: int, ends: list[tuple[int, np.ndarray, np.ndarray]], best: np.ndarray, back: np.ndarray, last: np.ndarray) -> None:
         """BPE: of the pieces that end at e, the one that may stand beside the piece before it."""
@@ -129,10 +132,10 @@ class Codec:
         rows = rows[ok]
         best[e, rows], back[e, rows], last[e, rows] = 0, starts[ok], ids[ok]
 
-    def _paths(self, codes: np.ndarray, back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Follows the backpointers of all words together, from the end."""
+    def _paths(self, codes: np.ndarray, ends: np.ndarray, back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follows the backpointers of all words together, from their ends."""
         size, fallback, n = self.p.size, self.p.bytes_ is not None, codes.shape[1]
-        rows, at, steps = np.arange(n), np.full(n, len(codes)), []
+        rows, at, steps = np.arange(n), ends, []
         while len(rows):
             token = last[at, rows]
             # An unknown character is kept as a number above the vocabulary.
@@ -169,10 +172,10 @@ class Codec:
         words = [self.p.words(t) for t in texts]
         new: dict[int, list[str]] = {}
         for w in set().union(*words).difference(self.known):
-            new.setdefault(len(w), []).append(w)
+            new.setdefault(_about(len(w)), []).append(w)
         flats, sizes = [self.flat], [np.diff(self.at)]
         for group in new.values():
-            wide = max(1, min(TOGETHER, (TOGETHER * 32) // max(1, len(group[0]))))
+            wide = max(1, min(TOGETHER, (TOGETHER * 32) // max(map(len, group))))
             for i in range(0, len(group), wide):
                 part = group[i : i + wide]
                 solved, counts = self._solve(part)
@@ -197,6 +200,12 @@ class Codec:
         return [t[1:] if self.p.dummy_prefix and t.startswith(" ") else t for t in texts]
 
 
+def _about(length: int) -> int:
+    """The length itself up to 16; above, the next of the lengths that are an eighth of a power of two apart."""
+    step = max(1, 1 << (length.bit_length() - 4)) if length > 16 else 1
+    return -(-length // step) * step
+
+
 def _spread(starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Positions of all slices starts : starts + sizes, one after another."""
     return np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])
@@ -221,7 +230,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """One row per row of docs: id, n_tokens, ids (array of int), and with decode the text that the ids give back.
 
     The model file is read on the driver; its tables go to the executors and have the vocabulary's size. A null or
-    empty text has no ids and decodes to the empty text. Ties between pieces follow the library. Repeated rows repeat.
+    empty text has no ids and decodes to the empty text. Long texts are encoded whole. Ties between pieces follow the library. Repeated rows repeat.
     Other columns of docs are not read.
     """
     spark = docs.sparkSession
@@ -233,21 +242,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return source.mapInArrow(_runner(pieces, decode), schema).withColumnRenamed("id", id_col)
 
 
-def encode_columns(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
-    """docs with n_tokens and ids of each text, without a join: rows keep all their columns (but those of these two
-    names, which are replaced)."""
+def encode_columns(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL, names: tuple[str, str] = ("n_tokens", "ids")) -> DataFrame:
+    """docs with the number and ids of each text's tokens, without a join: rows keep all their columns. The two new ones
+    have the names given; a column of docs with one of these names stays, and the new one gets underscores before it."""
     small_batches(docs.sparkSession, 1000, "4m")
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
-    docs = docs.drop("n_tokens", "ids")
+    taken = {c.lower() for c in docs.columns}
+    new = [next(x for k in range(len(taken) + 1) if (x := "_" * k + n).lower() not in taken) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(pieces.value)
         for b in batches:
             ids, at = codec.encode(b.column(text_col).to_pylist())
             found = [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *new])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(new[0], T.LongType()), T.StructField(new[1], T.ArrayType(T.IntegerType()))]))
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

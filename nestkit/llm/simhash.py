@@ -25,22 +25,39 @@ TILE = 65536
 BLOCK = 256
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """64 bits; bit is 1 if set in over half of the shingles' XXH64. No word: 0."""
+def shingle_hashes(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of the text's shingles, in order and with repeats. Fewer words are one shingle; no word: none."""
     # bytes.lower() and bytes.split() know ASCII only: A to Z, and 20, 09 to 0D.
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     n = max(1, len(parts) - words + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])), np.uint64)
-        total += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    total, whole = np.zeros(64, np.int64), len(hashes) // 255 * 255
+    # Sums of 255 bits fit into a byte.
+    for at in range(0, whole, 255 * 256):
+        bits = np.unpackbits(hashes[at : min(whole, at + 255 * 256)].view(np.uint8), bitorder="little").reshape(-1, 255, 64)
+        total += bits.sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    rest = np.unpackbits(hashes[whole:].view(np.uint8), bitorder="little").reshape(-1, 64)
+    return total + rest.sum(0, dtype=np.uint8)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the hashes. None: 0."""
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, words, seed))
 
 
 def _fingerprints(words: int, seed: int):
@@ -52,7 +69,7 @@ def _fingerprints(words: int, seed: int):
     return run
 
 
-def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Joins the sets of i and j; parent stays flat, with the smallest index as the root."""
     while True:
         a, b = parent[i], parent[j]
@@ -89,7 +106,7 @@ def link_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
             near = np.bitwise_count(left ^ b[None, q * BLOCK : (q + 1) * BLOCK]) <= radius
             if near.any():
                 i, j = np.nonzero(near)
-                _unite(parent, i + p * BLOCK, j + q * BLOCK + shift)
+                unite(parent, i + p * BLOCK, j + q * BLOCK + shift)
     linked = np.nonzero(parent != np.arange(len(both)))[0]
     return both[linked], both[parent[linked]]
 
@@ -108,7 +125,8 @@ def _links(radius: int):
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
-    A null text counts as empty; a text without words has fingerprint zero and is linked like any other. Rows that
+    A null text counts as empty; a text without words has fingerprint zero and is linked like any other. Long texts
+    count whole. Rows that
     repeat id or text are in one component. Null ids do not count as the smallest unless a component has no other. An
     empty table gives an empty result. Other columns of docs are not read.
     """
@@ -141,17 +159,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = scratch.save(linked.join(smallest, "root").select(F.col("node").alias("fp"), "component"))
     labels = scratch.save(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
-    out = narrow.join(labels, "fp")
+    scratch.only(narrow, labels)
+    out = narrow.join(scratch.small(labels), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; all columns stay. Rows of a null id stay."""
-    scratch = Scratch(docs.sparkSession)
-    found = simhash_components(docs, id_col, text_col, **options)
-    gone = scratch.save(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(scratch.small(gone), docs[id_col] == F.col("_gone"), "left_anti")
-
-
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -126,7 +126,7 @@ def _runner(pieces):
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
-    """One row per row of docs: id, n_tokens. A null or empty text has none. Repeated rows repeat. Other columns of
+    """One row per row of docs: id, n_tokens. A null or empty text has none; long texts are counted whole. Repeated rows repeat. Other columns of
     docs are not read; the model's tables go to the executors and have the vocabulary's size."""
     spark = docs.sparkSession
     small_batches(spark)

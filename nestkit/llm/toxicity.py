@@ -2,8 +2,11 @@
 
 Logistic regression over the presence of words and word beginnings. In labelled sentences that hold an identity term,
 the term is swapped for another of its kind, and the squared change of the score is part of the loss, so that naming a
-group does not by itself raise a score. Fitting uses at most SAMPLE labelled documents (the first by a hash of their
-text, equal texts once); every document is scored whole.
+group does not by itself raise a score. A labelled text without such a term gets one, chosen by a hash: the change
+between the text with it and the text with its swap, and between the text with it and without, are part of the loss too.
+So the loss acts on every labelled text, through the terms and the word beginnings that they share with other words.
+Fitting uses at most SAMPLE labelled documents (the first by a hash of their text, equal texts once); every document is
+scored whole.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, held_out, small_batches, table
 
 SAMPLE = 8_000
 FEATURES = 2_000
@@ -37,8 +41,27 @@ IDENTITY = [
     ["black", "white", "asian", "latino", "african", "european"],
     ["immigrants", "natives", "refugees", "foreigners"],
     ["old", "young", "disabled", "deaf", "blind"],
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["muslime", "juden", "christen", "hindus", "buddhisten", "atheisten"],
+    ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+    ["einwanderer", "einheimische", "flüchtlinge", "ausländer"],
+    ["alte", "junge", "behinderte", "gehörlose", "blinde"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["musulmans", "juifs", "chrétiens", "hindous", "bouddhistes", "athées"],
+    ["homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"],
+    ["immigrés", "natifs", "réfugiés", "étrangers"],
+    ["vieux", "jeunes", "handicapés", "sourds", "aveugles"],
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["musulmanes", "judíos", "cristianos", "hindúes", "budistas", "ateos"],
+    ["gais", "lesbianas", "heterosexuales", "bisexuales"],
+    ["inmigrantes", "nativos", "refugiados", "extranjeros"],
+    ["ancianos", "jóvenes", "discapacitados", "sordos", "ciegos"],
 ]
-SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY for i, w in enumerate(line)}
+SWAP: dict[str, str] = {}
+for _line in IDENTITY:
+    for _i, _w in enumerate(_line):
+        SWAP.setdefault(_w, _line[(_i + 1) % len(_line)])  # a word of two lines belongs to the first
+TERMS = sorted(SWAP)
 
 
 def word_features(word: str) -> list[str]:
@@ -58,6 +81,11 @@ def swapped_words(text: str | None) -> set[str]:
     return out
 
 
+def inserted_term(text: str | None) -> str:
+    """The term that a text without one gets."""
+    return TERMS[xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) % len(TERMS)]
+
+
 class Model:
     """Weights of features; picklable and of at most FEATURES entries besides the identity terms."""
 
@@ -102,7 +130,8 @@ def _flat(column: pa.ChunkedArray, encoded: pa.Array | None = None) -> tuple[np.
 
 
 def fit(rows: pa.Table) -> Model:
-    """rows: words (of each text, once), swapped (the words after the swap; null where nothing was swapped), label."""
+    """rows: words (of each text, once), swapped (the words after the swap; null where nothing was swapped), term (the
+    inserted one; null where the text has its own), label."""
     y = rows["label"].to_numpy().astype(np.float64)
     n, pos = len(y), float(y.sum())
     if not n or pos in (0.0, float(n)):
@@ -115,7 +144,7 @@ def fit(rows: pa.Table) -> Model:
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
 
-    identity = pc.is_in(vocabulary, pa.array(list(SWAP))).to_numpy(zero_copy_only=False)
+    shared = {f for w in TERMS for f in word_features(w)}
     found: list[tuple[float, str, np.ndarray, np.ndarray]] = []  # evidence, name, documents with it, documents with it after a swap
     for of_word, texts, mark in _blocks(vocabulary):
         f = of_word[word]
@@ -126,9 +155,7 @@ def fit(rows: pa.Table) -> Model:
         evidence = 2 * (part(both, has * p) + part(has - both, has * (1 - p)) + part(pos - both, (n - has) * p) + part(n - has - pos + both, (n - has) * (1 - p)))
         good = (evidence >= EVIDENCE) & (has >= LEAST_DOCS)
         # Features of identity terms are always there, for the penalty to act on.
-        terms = of_word[identity]
-        forced = np.zeros(len(texts), bool)
-        forced[terms[terms >= 0]] = True
+        forced = pc.is_in(texts, pa.array([f[1:] for f in sorted(shared) if f[0] == mark], texts.type)).to_numpy(zero_copy_only=False)
         swap_f = np.where(swap_word >= 0, of_word[np.maximum(swap_word, 0)], -1)
         best = np.nonzero(good)[0]
         best = best[np.argsort(-evidence[best], kind="stable")][: FEATURES]
@@ -140,11 +167,24 @@ def fit(rows: pa.Table) -> Model:
     found = sorted((f for k, f in enumerate(found) if k < FEATURES or f[0] == np.inf), key=lambda f: f[1])
     x = np.zeros((n, len(found) + 1), np.float32)
     x[:, -1] = 1
-    change = np.zeros((len(moved), len(found) + 1), np.float32)
-    for k, (_, _, docs, after) in enumerate(found):
+    for k, (_, _, docs, _) in enumerate(found):
         x[docs, k] = 1
-        change[np.isin(moved, after), k] = 1
-    change[:, :-1] -= x[moved, :-1]
+    # Only features of identity terms change by a swap or an insertion.
+    own = np.array([k for k, f in enumerate(found) if f[0] == np.inf], np.int64)
+    place = {found[k][1]: c for c, k in enumerate(own.tolist())}
+    real = np.zeros((len(moved), len(own)), np.float32)
+    for c, k in enumerate(own.tolist()):
+        real[np.isin(moved, found[k][3]), c] = 1
+    terms = rows["term"].to_pylist()
+    added = np.array([r for r, t in enumerate(terms) if t is not None], np.int64)
+    has, after = np.zeros((len(added), len(own)), np.float32), np.zeros((len(added), len(own)), np.float32)
+    columns = {t: [[place[f] for f in word_features(w) if f in place] for w in (t, SWAP[t])] for t in {t for t in terms if t is not None}}
+    for r, at in enumerate(added.tolist()):
+        with_term, with_swap = columns[terms[at]]
+        has[r, with_term] = 1
+        after[r, with_swap] = 1
+    free = 1 - x[np.ix_(added, own)]
+    change = np.concatenate([real - x[np.ix_(moved, own)], (after - has) * free, has * free])
     # Accelerated gradient steps; the loss is convex and smooth.
     ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 0
@@ -153,16 +193,14 @@ def fit(rows: pa.Table) -> Model:
     for _ in range(60):
         at = power.astype(np.float32)
         power = x.T @ (x @ at) / (4 * n) + ridge * power
-        if len(moved):
-            power = power + SWAP_PENALTY * 2 * change.T @ (change @ at) / len(moved)
+        power[own] += SWAP_PENALTY * 2 * change.T @ (change @ at[own]) / max(1, len(change))
         top = float(np.linalg.norm(power))
         power /= top
     w, v, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     for _ in range(STEPS):
         miss = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32), -35, 35))) - y
         grad = x.T @ miss.astype(np.float32) / n + ridge * v
-        if len(moved):
-            grad = grad + SWAP_PENALTY * 2 * change.T @ (change @ v.astype(np.float32)) / len(moved)
+        grad[own] += SWAP_PENALTY * 2 * change.T @ (change @ v[own].astype(np.float32)) / max(1, len(change))
         new = v - grad / (1.1 * top)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / nt * (new - w), new, nt
@@ -173,7 +211,8 @@ def labelled(texts: list[str | None], labels: list[int]) -> pa.Table:
     """Rows for fit()."""
     words = [words_of(t) for t in texts]
     swapped = [sorted(swapped_words(t)) if not w.isdisjoint(SWAP) else None for t, w in zip(texts, words)]
-    return pa.table({"words": pa.array([sorted(w) for w in words], pa.list_(pa.string())), "swapped": pa.array(swapped, pa.list_(pa.string())), "label": pa.array(labels, pa.int32())})
+    terms = [None if s is not None else inserted_term(t) for t, s in zip(texts, swapped)]
+    return pa.table({"words": pa.array([sorted(w) for w in words], pa.list_(pa.string())), "swapped": pa.array(swapped, pa.list_(pa.string())), "term": pa.array(terms, pa.string()), "label": pa.array(labels, pa.int32())})
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(marks, "id")
     picked = scratch.save(narrow.groupBy("h").agg(F.min(F.struct("id", "label")).alias("r")).orderBy("h").limit(sample).select("r.*", "h"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").where(F.xxhash64("text") == F.col("h")).select("text", "label", "h")
-    got = texts.mapInArrow(_words, "words array<string>, swapped array<string>, label int, h long")
+    got = texts.mapInArrow(_words, "words array<string>, swapped array<string>, term string, label int, h long")
     # In a fixed order, so that reruns agree.
-    return fit(got.toArrow().sort_by([("h", "ascending"), ("label", "ascending")]))
+    rows = got.toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    scratch.only()
+    return fit(rows)
 
 
 def scorer(docs: DataFrame, model: Model):
@@ -208,28 +249,25 @@ def scorer(docs: DataFrame, model: Model):
     return toxicity
 
 
-def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
-    column = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.crc32(column.cast("string").cast("binary")) % folds == fold
-
-
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, score, predicted. Null and empty texts get the score of no words. Repeated rows
-    repeat. Other columns are not read."""
+    """One row per row of docs: id, score, predicted. Null and empty texts get the score of no words, long texts
+    are read whole. Repeated rows repeat. Other columns are not read."""
     small_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).alias("id"), scorer(docs, model)(F.col(text_col)).alias("score"))
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _trained(spark, sf_dir: str, docs: DataFrame) -> Model:
-    learn = docs.where(~held_out("doc_id", 5, 0))
+    learn = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
     return train(learn, table(spark, sf_dir, "labels"))
 
 
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the model rejects; columns stay."""
+    """docs without those that the model rejects; columns stay. A model without any feature (no labels, or of one class
+    only) rejects none."""
     small_batches(spark)
-    return docs.where(scorer(docs, _trained(spark, sf_dir, docs))(F.col("text")) < 0.5)
+    model = _trained(spark, sf_dir, docs)
+    return docs.where(scorer(docs, model)(F.col("text")) < 0.5) if model.weights else docs
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

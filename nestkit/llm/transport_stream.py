@@ -278,7 +278,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media: each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a transport
-    stream. A null text counts as empty. Repeated rows repeat. Other columns are not read."""
+    stream. A null text counts as empty; a long one is stored whole. Repeated rows repeat. Other columns are not read."""
     small_batches(docs.sparkSession, 1000, "4m")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()

@@ -23,7 +23,7 @@ def documents(spark, rows=ROWS, clash=True):
     """The rows as a table, with more columns whose names operators use themselves."""
     frame = spark.createDataFrame(rows, SCHEMA)
     if clash:
-        for name in ("id", "h", "n", "size", "ids", "keep_id", "score", "fp", "copies", "d1", "gone", "words", "label", "media", "found", "all", "rank"):
+        for name in ("id", "h", "n", "size", "ids", "keep_id", "score", "fp", "copies", "d1", "gone", "words", "label", "media", "found", "all", "rank", "_gone", "_sha", "_u", "_size", "_skey", "th", "node", "root", "n_tokens", "cut", "prefix", "hit", "lines", "idx"):
             frame = frame.selectExpr("*", f"'extra' as {name}")
     return frame
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from nestkit.llm.lang_id import SWITCH, UND, fit, identify, letters_of, op5_lang_id, train
+from nestkit.llm.lang_id import BUCKETS, LONGEST, ORDERS, SMOOTH, SPREAD, SWITCH, UND, fit, identify, op5_lang_id, train, words_of
 
 from .cases import ROWS, documents, empty
 
@@ -12,10 +12,9 @@ MODEL = fit([EN * 3, DE * 3, EL * 3], ["en", "de", "el"])
 
 def brute_path(model, words):
     """Viterbi over one text, without batches."""
-    model.index(set(words))
     value, back = None, []
     for w in words:
-        s = model.scores[model.known[w]]
+        s = model.scores[w]
         if value is None:
             value = s.copy()
             continue
@@ -51,8 +50,8 @@ def test_batches_equal_single_texts(monkeypatch):
     for cells in (1 << 20, 50):
         monkeypatch.setattr(lang_id, "CELLS", cells)
         for (words, path), text in zip(MODEL.paths(texts, together=4), texts):
-            assert words == [w for w in text.split() if letters_of(w)]
-            assert path.tolist() == (brute_path(MODEL, words) if words else [])
+            assert [MODEL.words[w] for w in words] == [w for w in text.split() if words_of(w)]
+            assert path.tolist() == (brute_path(MODEL, words.tolist()) if len(words) else [])
 
 
 def test_scripts_narrow_candidates():
@@ -61,6 +60,41 @@ def test_scripts_narrow_candidates():
     assert scores[0].argmax() == el and (np.delete(scores[0], el) == scores[0].min()).all() and scores[1, el] == scores[1].min()
 
 
+def test_excluded_languages_get_no_word():
+    spans = MODEL.spans("the green house was σπίτι with their friends")
+    assert [s[0] for s in spans] == ["en", "el", "en"] and spans[1][1] == "σπίτι"
+    assert [s[0] for s in MODEL.spans("the houseσπίτι was")] == ["en", "el", "en"]
+    assert words_of("houseσπίτι") == ["house", "σπίτι"] and words_of("12-") == [] and [len(w) for w in words_of("x" * (LONGEST + 5))] == [LONGEST, 5]
+
+
+def test_many_languages():
+    """More than fit into a byte: each has words of its own."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)) for _ in range(300)]
+    model = fit(texts, [f"l{i:03d}" for i in range(300)])
+    got = [p[0] for p in model.predict(texts)]
+    assert np.mean([g == f"l{i:03d}" for i, g in enumerate(got)]) > 0.95
+
+
+def test_word_scores_against_brute_force():
+    """Counts of n-grams of the fitting texts, by dictionaries of strings."""
+    from collections import Counter
+
+    counts = {}
+    for lang, text in (("en", EN), ("de", DE), ("el", EL)):
+        counts[lang] = Counter(g for w in (text * 3).split() for n in ORDERS for b in [f"\x02{w}\x03"] for g in (b[i : i + n] for i in range(len(b) - n + 1)))
+    used = len(set().union(*counts.values()))
+    assert used < BUCKETS // 100  # few n-grams share a bucket
+    for word in ("house", "haus", "grüne"):
+        b = f"\x02{word}\x03"
+        grams = [b[i : i + n] for n in ORDERS for i in range(len(b) - n + 1)]
+        want = {k: sum(np.log((c[g] + SMOOTH) / (c.total() + SMOOTH * used)) for g in grams) / len(ORDERS) for k, c in counts.items() if k != "el"}
+        got = dict(zip(MODEL.langs, MODEL.word_scores([word])[0]))
+        assert got["el"] == -np.inf
+        for k in ("en", "de"):
+            assert abs(got[k] - max(want[k] - max(want.values()), -SPREAD)) < 0.02
+
+
 def test_edge_rows(spark):
     got = identify(documents(spark), MODEL).collect()
     by = {r.doc_id: r for r in got}
@@ -70,7 +104,7 @@ def test_edge_rows(spark):
 
 
 def test_nothing_to_learn_from(spark):
-    assert train(empty(spark)) is None
+    assert train(empty(spark)) is None and train(documents(spark), size=1) is None
     assert {r.lang_pred for r in identify(documents(spark), None).collect()} == {UND}
 
 

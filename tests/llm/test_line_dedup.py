@@ -1,44 +1,35 @@
 import random
-import re
 
 import pytest
 
-from nestkit.llm.line_dedup import LONG_WORDS, _has_words, dedup_lines
+from nestkit.llm.line_dedup import LINE_CHARS, dedup_lines
 
 from .cases import ROWS, documents, empty
 
 
-def brute(rows, m=2, long_words=LONG_WORDS):
-    """Deletion by sets of windows, and longest repeated runs by sorting all suffixes."""
+def brute(rows, m=2, chars=LINE_CHARS):
+    """From each line on, the longest run that any earlier line starts too; what counts is deleted."""
     docs = []
     for i, t in sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = [] if t is None else t.split("\n")
         docs.append((i, t, lines, [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]))
     seqs = [[lines[k] for k in places] for _, _, lines, places in docs]
-    gone, windows, singles, count = [set() for _ in docs], set(), set(), {}
+    gone, longest, places = [set() for _ in docs], [0] * len(docs), {}
     for d, seq in enumerate(seqs):
-        for k in range(len(seq) - m + 1):
-            w = tuple(seq[k : k + m])
-            count[w] = count.get(w, 0) + 1
-            if w in windows:
-                gone[d] |= set(range(k, k + m))
-            windows.add(w)
-        for k, x in enumerate(seq):
-            if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= long_words:
-                if x in singles:
-                    gone[d].add(k)
-                singles.add(x)
-    starts = sorted(((d, k) for d, seq in enumerate(seqs) for k in range(len(seq) - m + 1) if count[tuple(seq[k : k + m])] > 1), key=lambda p: seqs[p[0]][p[1] :])
-    longest = [0] * len(docs)
-    for (a, i), (b, j) in zip(starts, starts[1:]):
-        n = 0
-        while i + n < len(seqs[a]) and j + n < len(seqs[b]) and seqs[a][i + n] == seqs[b][j + n]:
-            n += 1
-        if n >= m:
-            longest[a], longest[b] = max(longest[a], n), max(longest[b], n)
+        for k, line in enumerate(seq):
+            best = 0
+            for a, i in places.get(line, []):
+                n = 0
+                while i + n < len(seqs[a]) and k + n < len(seq) and seqs[a][i + n] == seq[k + n]:
+                    n += 1
+                best = max(best, n)
+            best = best if best >= m else int(best > 0 and len(line) >= chars)
+            gone[d] |= set(range(k, k + best))
+            longest[d] = max(longest[d], best)
+            places.setdefault(line, []).append((d, k))
     out = {}
-    for (i, t, lines, places), g, n in zip(docs, gone, longest):
-        cut = {places[k] for k in g}
+    for (i, t, lines, at), g, n in zip(docs, gone, longest):
+        cut = {at[k] for k in g}
         out[i, t] = (len(lines), len(g), n, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in cut))
     return sorted([(r[0], *out[r[0], r[1]]) for r in rows], key=str)
 
@@ -51,13 +42,13 @@ def test_edge_rows(spark):
     assert values(dedup_lines(documents(spark))) == brute(ROWS)
 
 
-@pytest.mark.parametrize("m", [1, 2, 4])
+@pytest.mark.parametrize("m", [1, 2, 3, 4])
 def test_random_runs(spark, m):
     rng = random.Random(m)
     passage = [f"p{k}" for k in range(9)]
     rows = []
     for i in range(40):
-        lines = [rng.choice(["x", "y", "", f"own {i} {k}", "z " * LONG_WORDS]) for k in range(rng.randint(0, 9))]
+        lines = [rng.choice(["x", "y", "", f"own {i} {k}", "z " * LINE_CHARS]) for k in range(rng.randint(0, 9))]
         if rng.random() < 0.6:
             a = rng.randint(0, 4)
             at = rng.randint(0, len(lines))
@@ -67,12 +58,20 @@ def test_random_runs(spark, m):
     assert values(dedup_lines(documents(spark, rows), min_lines=m)) == brute(rows, m)
 
 
-def test_words_of_lines(spark):
-    lines = ["a", " a b ", "a  b", "a\tb c", "\x0ba\rb\fc", "é ü", "a\xa0b c"]
-    frame = spark.createDataFrame([(x,) for x in lines], "line string")
-    for least in (1, 2, 3):
-        got = [r.n for r in frame.select(_has_words(frame.line, least).alias("n")).collect()]
-        assert got == [n >= least for n in (1, 2, 2, 3, 3, 2, 2)]
+def test_overlaps_and_single_lines(spark):
+    long = "a line that is long enough to count as a run by itself"
+    texts = ["a\nb\nc\nd", "b\nc\nd\ne", "x\na\nb\nc\nd\ne\ny", "r\nr\nr\nr", f"u\n{long}\nv", f"w\n{long}", "a\n\nb\n \nc", "short\nq1", "short\nq2"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = values(dedup_lines(documents(spark, rows)))
+    assert got == brute(rows)
+    assert [r[4] for r in got] == ["a\nb\nc\nd", "e", "x\ny", "r", f"u\n{long}\nv", "w", "\n ", "short\nq1", "short\nq2"]
+    assert [r[3] for r in got] == [0, 3, 4, 3, 0, 1, 3, 0, 0]
+
+
+def test_a_line_that_is_everywhere(spark):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice(["hot", "hot", "cold", f"own {i} {k}"]) for k in range(12)), "en", "s", 1) for i in range(60)]
+    assert values(dedup_lines(documents(spark, rows))) == brute(rows)
 
 
 def test_first_copies_stay(spark):
@@ -84,4 +83,4 @@ def test_first_copies_stay(spark):
 def test_empty_and_bad_length(spark):
     assert dedup_lines(empty(spark)).count() == 0
     with pytest.raises(ValueError):
-        dedup_lines(empty(spark), min_lines=3)
+        dedup_lines(empty(spark), min_lines=0)

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -58,9 +59,52 @@ def test_near_targets(spark):
     check(spark, rows, lambda s, sizes, _: 0.02 * sizes[s] + 100)
 
 
-def test_hot_size_beyond_the_ranked_bound(spark):
-    rows = [(i, "w w w w", "en", "a" if i < 2500 else "b", 1) for i in range(4000)]
-    check(spark, rows, lambda s, sizes, _: 0.05 * sizes[s])
+def test_hot_sizes_are_cut_exactly(spark):
+    """Every source comes within one document of its target, however many are of one size."""
+    rows = [(i, "w w w w", "en", "abc"[i // 10_000], 1) for i in range(30_000)]
+    check(spark, rows, lambda s, sizes, _: 4)
+
+
+@pytest.mark.parametrize("digit, rounds", [(1, 40), (3, 17)])
+def test_cuts_by_small_digits(spark, monkeypatch, digit, rounds):
+    """Digits so small that every group takes several rounds."""
+    from nestkit.llm import mixing
+
+    monkeypatch.setattr(mixing, "DIGIT", digit)
+    monkeypatch.setattr(mixing, "ROUNDS", rounds)
+    rows = [(i, "w " * (3 + i % 2), "en", "ab"[i // 150], 1) for i in range(300)]
+    check(spark, rows, lambda s, sizes, _: 4)
+
+
+def test_multipliers_are_the_optimum(spark):
+    """Rates against a bisection on the dual, source by source."""
+    rows = [(i, "w " * (1 + (i * 37) % 61), "en", f"s{i % 3}" if i % 5 else "s0", 1) for i in range(300)]
+    sizes, target = brute_targets(rows)
+    words = {r[0]: len(r[1].split()) for r in rows}
+    got = {r.doc_id: r.rate for r in mix(documents(spark, rows)).collect()}
+    for s in sizes:
+        own = [r[0] for r in rows if r[3] == s]
+        mean = sum(words[i] for i in own) / len(own)
+        rate = lambda lam, i: min(2.0, math.exp(min(1.0, lam * words[i] / mean)))
+        lo, hi = -50.0, 50.0
+        if target[s] >= 2 * sizes[s] * (1 - 1e-12):
+            assert all(got[i] == 2.0 for i in own)
+            continue
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(words[i] * rate(mid, i) for i in own) < target[s] else (lo, mid)
+        assert all(got[i] == pytest.approx(rate(lo, i), rel=1e-6) for i in own)
+
+
+def test_unsolved_is_an_error(spark):
+    from nestkit.llm.common import Scratch
+    from nestkit.llm.mixing import _solve
+
+    cells = spark.createDataFrame([("0a", 5, 3)], "skey string, size long, docs long")
+    state = spark.createDataFrame([("0a", 15, 22.5, 5.0, False, 0.0, -1e-9, 2.0)], "skey string, source_size long, target double, mean double, solved boolean, lam double, lo double, hi double")
+    scratch = Scratch(spark)
+    with pytest.raises(RuntimeError):
+        _solve(cells, scratch.save(state), scratch, most=1)
 
 
 def test_rates_are_tilted_and_capped(spark):
@@ -74,7 +118,7 @@ def test_copies_of_documents(spark):
     frame = documents(spark)
     copies = {r.doc_id: r.copies for r in mix(frame).collect()}
     got = mix_documents(frame)
-    assert got.columns == frame.columns
+    assert got.columns == frame.columns and {(r._u, r._size, r._skey) for r in got.select("_u", "_size", "_skey").collect()} == {("extra",) * 3}
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert {i: n for i, n in copies.items() if n and i != 8} == {i: n for i, n in counts.items() if i != 8}
 

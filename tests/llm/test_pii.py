@@ -2,11 +2,11 @@ import datetime
 import hashlib
 import re
 
-from nestkit.llm.pii import CARD, DATE, DAYS, IBAN, IPV4, PHONE, ROUNDS, SIDE, SSN, pseudonymise
+from nestkit.llm.pii import CARD, DATE, DAYS, E164, IBAN, IPV4, PHONE, ROUNDS, SIDE, SSN, pseudonymise
 
 from .cases import ROWS, documents, empty
 
-KEY = "change-this-key"
+KEY = "a key of the tests"
 
 
 def feistel(symbols, radices, tweak, key=KEY):
@@ -33,7 +33,7 @@ def mod97(iban):
 
 def run(spark, texts, **options):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
-    return [r.text for r in sorted(pseudonymise(documents(spark, rows), **options).collect(), key=lambda r: r.doc_id)]
+    return [r.text for r in sorted(pseudonymise(documents(spark, rows), **{"key": KEY, **options}).collect(), key=lambda r: r.doc_id)]
 
 
 def test_against_brute_force(spark):
@@ -76,7 +76,7 @@ def test_formats_stay_valid(spark):
 
 
 def test_invalid_values_stay(spark):
-    texts = ["4111 1111 1111 1112", "666-12-1234", "123-00-4567", "300.1.1.1", "01.2.3.4", "2021-02-30", "13/13/2020", "DE89370400440532013001", "0000000000000000", "v1.2.3.4", "a@b", "1899-12-31"]
+    texts = ["4111 1111 1111 1112", "666-12-1234", "123-00-4567", "300.1.1.1", "01.2.3.4", "2021-02-30", "13/13/2020", "DE89370400440532013001", "0000000000000000", "v1.2.3.4", "a@b", "1899-12-31", "order id 2345678901", "+1234567", "1:2:3:4:5:6:7"]
     assert run(spark, texts) == texts
 
 
@@ -91,10 +91,33 @@ def test_values_beside_others(spark):
         assert g == form.format(alone[k])
     first, second = got[5].split()
     assert first == alone[3] and second != "BE71096123456769" and mod97(second) == 1
+    more = run(spark, [f"12345 {grouped}", f"{card} {card}", f"AT61 1904 3002 3457 3201 ASAP {other} EUR 500"])
+    assert more[0] == f"12345 {alone[1]}" and more[1] == f"{alone[0]} {alone[0]}" and more[2].endswith(f" ASAP {alone[3]} EUR 500") and not more[2].startswith("AT61 1904 3002")
     stay = ["4111111111111112 12/27", "ES9121000418450200051333 AND"]
     assert run(spark, stay) == stay
 
 
+def test_international_numbers_and_ipv6(spark):
+    texts = ["+44 20 7946 0958", "+49 30 901820", "+1 (123) 555-0199", "+352 621 123 456", "2001:0db8:0000:0000:0000:ff00:0042:8329"]
+    got = run(spark, texts)
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts, got))
+    assert all(re.fullmatch(E164, g) for g in got[:4]) and [g.split()[0] for g in got[:4]] == ["+44", "+49", "+1", "+352"]
+    rest = feistel([int(c) for c in "2079460958"], [10] * 10, "e16444")
+    assert re.sub(r"\D", "", got[0]) == "44" + "".join(map(str, rest))
+    assert re.fullmatch(r"[0-9a-f]{4}(:[0-9a-f]{4}){7}", got[4])
+
+
+def test_query_key(spark, tmp_path):
+    from nestkit.llm.pii import op7_pii
+
+    documents(spark, [(1, "call 856-555-5105 now", "en", "s", 1)]).write.parquet(str(tmp_path / "documents.parquet"))
+    a, b = (op7_pii(spark, str(tmp_path)).first().text for _ in range(2))
+    spark.conf.set("spark.nestkit.pii.key", KEY)
+    c, d = (op7_pii(spark, str(tmp_path)).first().text for _ in range(2))
+    spark.conf.unset("spark.nestkit.pii.key")
+    assert c == d == run(spark, ["call 856-555-5105 now"])[0] and a != b
+
+
 def test_permutation_is_one_to_one_and_keyed(spark):
     days = [str(datetime.date(2000, 1, 1) + datetime.timedelta(days=k)) for k in range(800)]
     got = run(spark, [" ".join(days), " ".join(days)])
@@ -113,11 +136,11 @@ def test_text_around_stays(spark):
 
 
 def test_edge_rows(spark):
-    got = pseudonymise(documents(spark)).collect()
+    got = pseudonymise(documents(spark), key=KEY).collect()
     assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(r[0], r[1]) for r in ROWS], key=str)
-    assert all(r.found == r.changed == 0 for r in got) and pseudonymise(empty(spark)).count() == 0
+    assert all(r.found == r.changed == 0 for r in got) and pseudonymise(empty(spark), key=KEY).count() == 0
 
 
 def test_no_python_on_the_main_path(spark):
-    plan = pseudonymise(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = pseudonymise(documents(spark), key=KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -6,7 +6,7 @@ import xxhash
 
 from nestkit.llm.components import components
 from nestkit.llm.common import Scratch
-from nestkit.llm.simhash import BLOCK, drop_near, fingerprint, link_tiles, simhash_components
+from nestkit.llm.simhash import BLOCK, fingerprint, link_tiles, simhash_components
 
 from .cases import ROWS, documents, empty
 
@@ -50,7 +50,7 @@ def test_components_of_edge_rows(spark):
 
 def test_null_id_and_empty_table(spark):
     assert simhash_components(documents(spark)).count() == len(ROWS)
-    assert simhash_components(empty(spark)).count() == 0 and drop_near(empty(spark)).count() == 0
+    assert simhash_components(empty(spark)).count() == 0
 
 
 def test_tiles_find_every_link():
@@ -86,9 +86,19 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 301)}, **{i: 1000 for i in range(1001, 1400)}}
 
 
-def test_drop_near_keeps_the_smallest(spark):
-    text = "one two three four five six seven eight nine ten " * 30
-    rows = [(1, text + "end", "en", "a", 1), (2, text + "END", "en", "a", 1), (3, "something else entirely that nobody wrote before", "en", "a", 1)]
-    frame = documents(spark, rows)
-    kept = drop_near(frame)
-    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+def test_small_tiles(spark, monkeypatch):
+    """Several tiles in a cell give the same components."""
+    from nestkit.llm import simhash
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randint(0, 60)}" for _ in range(60)]
+        rows.append((i, " ".join(words), "en", "a", 1))
+        for k in range(3):
+            words[rng.randrange(60)] = f"new{k}"
+            rows.append((100 * (k + 1) + i, " ".join(words), "en", "a", 1))
+    want = brute_components([(r[0], brute_fingerprint(r[1])) for r in rows])
+    monkeypatch.setattr(simhash, "TILE", 2)
+    assert {r.doc_id: r.component_id for r in simhash_components(documents(spark, rows)).collect()} == want
+    assert len(set(want.values())) < len(rows)

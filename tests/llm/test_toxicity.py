@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from nestkit.llm.toxicity import SWAP, fit, held_out, labelled, op6_toxicity, reject_toxic, score_toxicity, swapped_words, train, words_of
+from nestkit.llm.toxicity import PENALTY, SWAP, SWAP_PENALTY, TERMS, fit, held_out, inserted_term, labelled, op6_toxicity, reject_toxic, score_toxicity, swapped_words, train, word_features, words_of
 
 from .cases import ROWS, documents, empty
 
@@ -42,6 +42,51 @@ def test_swaps_flatten_identity_terms(monkeypatch):
     assert abs(flat.score(a) - flat.score(b)) < 0.2 * abs(biased.score(a) - biased.score(b))
 
 
+def loss(weights, bias, texts, labels):
+    """The loss by its definition, text by text."""
+    z = lambda words: bias + sum(weights[f] for f in {f for w in words for f in word_features(w)} if f in weights)
+    total, changes = 0.0, []
+    for t, y in zip(texts, labels):
+        words = words_of(t)
+        total += np.logaddexp(0, z(words)) - y * z(words)
+        if words & set(SWAP):
+            changes.append(z(swapped_words(t)) - z(words))
+        else:
+            term = inserted_term(t)
+            changes += [z(words | {SWAP[term]}) - z(words | {term}), z(words | {term}) - z(words)]
+    return total / len(texts) + PENALTY / 2 * sum(w * w for w in weights.values()) + SWAP_PENALTY * sum(c * c for c in changes) / len(changes)
+
+
+def test_fit_is_the_least_of_the_loss():
+    texts, labels = sample(80, 0.4)
+    model = fit(labelled(texts, labels))
+    least = loss(model.weights, model.bias, texts, labels)
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        moved = {k: w + 0.05 * rng.standard_normal() for k, w in model.weights.items()}
+        assert loss(moved, model.bias + 0.05 * rng.standard_normal(), texts, labels) > least
+    one = next(iter(model.weights))
+    for step in (-0.02, 0.02):
+        assert loss({**model.weights, one: model.weights[one] + step}, model.bias, texts, labels) > least
+    # A score is that of its features.
+    words = words_of(texts[0])
+    z = model.bias + sum(model.weights.get(f, 0) for f in {f for w in words for f in word_features(w)})
+    assert abs(model.score(texts[0]) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_inserted_terms_act_where_no_text_has_one(monkeypatch):
+    """A group's name shares its beginning with an insult of the data; the loss takes that weight off."""
+    from nestkit.llm import toxicity
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", "and", "walk", "house"]) for _ in range(8)) + (" muslxx" if i % 2 else "") + f" n{i}" for i in range(600)]
+    rows = labelled(texts, [i % 2 for i in range(600)])
+    assert rows["term"].null_count == 0
+    flat = fit(rows)
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
+    assert flat.score("the muslim of") < 0.7 * fit(rows).score("the muslim of") and set(SWAP.values()) <= set(TERMS)
+
+
 def test_swapped_words():
     assert swapped_words("A muslim walks. No one else.") == {"a", "jewish", "walks", "no", "one", "else"}
     assert all(v in SWAP for v in SWAP.values()) and words_of(None) == set()
@@ -80,9 +125,16 @@ def test_held_out_accuracy(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 9000 < kept.count() < 10000
 
 
+def test_a_model_of_one_class_rejects_nothing(spark, tmp_path):
+    documents(spark, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 1) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert reject_toxic(spark, documents(spark), str(tmp_path)).count() == len(ROWS)
+    assert {r.predicted for r in op6_toxicity(spark, str(tmp_path)).collect()} == {1}
+
+
 def test_held_out_rule(spark):
     import zlib
 
     got = spark.range(50).select("id", held_out("id", 5, 0).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
-    assert spark.range(1).select(held_out(F.lit(None).cast("long").alias("x"), 5, 0).alias("h")).first().h is None
+    assert spark.range(1).select(held_out(F.lit(None).cast("long").alias("x"), 5, 0).alias("h")).first().h is False
