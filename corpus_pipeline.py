@@ -13,7 +13,7 @@ from nestkit.llm.common import Scratch, table
 from nestkit.llm.exact_dedup import drop_exact
 from nestkit.llm.mixing import mix_documents
 from nestkit.llm.sentencepiece_codec import encode_columns
-from nestkit.llm.similar import drop_similar
+from nestkit.llm.near import drop_near
 from nestkit.llm.toxicity import reject_toxic
 
 
@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_similar(docs)
+    return drop_near(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
