@@ -20,7 +20,7 @@ from .common import WORD, Scratch, fresh, table
 
 CAP = 2.0
 #: Hashes that order documents of one source and size have ROUNDS digits of DIGIT bits.
-DIGIT, ROUNDS = 13, 4
+DIGIT, ROUNDS = 6, 9
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5) -> DataFrame:
