@@ -157,3 +157,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+#: The same by comparing each place of a line with every earlier place of it: equal lines on a diagonal of two documents
+#: are a run. Rows of one id and different texts count in the order of their texts here.
+OP8_SQL = f"""WITH dc AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS d FROM (SELECT DISTINCT doc_id, text FROM documents)),
+al AS (SELECT d, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM dc WHERE text IS NOT NULL),
+sq AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY pos) - 1 AS k FROM al WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+pr AS (SELECT p.d, p.k, q.d AS e, p.k - q.k AS apart FROM sq p JOIN sq q ON p.line = q.line AND (q.d < p.d OR q.d = p.d AND q.k < p.k)),
+il AS (SELECT *, k - row_number() OVER (PARTITION BY d, e, apart ORDER BY k) AS island FROM pr),
+ru AS (SELECT d, k, max(k) OVER (PARTITION BY d, e, apart, island) + 1 - k AS lines FROM il),
+bs AS (SELECT d, k, max(lines) AS lines FROM ru GROUP BY 1, 2),
+en AS (SELECT sq.d, sq.pos, sq.k, CASE WHEN lines >= {MIN_LINES} THEN lines WHEN lines = 1 AND length(line) >= {LINE_CHARS} THEN 1 END AS n FROM sq LEFT JOIN bs USING (d, k)),
+gn AS (SELECT d, pos, n, coalesce(max(k + n) OVER (PARTITION BY d ORDER BY k ROWS UNBOUNDED PRECEDING) > k, false) AS gone FROM en),
+ou AS (SELECT d, count(*)::INTEGER AS n_lines, count(*) FILTER (gone)::INTEGER AS n_deleted, coalesce(max(n), 0)::BIGINT AS longest_run,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, false)), '') AS kept FROM al LEFT JOIN gn USING (d, pos) GROUP BY d)
+SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(longest_run, 0) AS longest_run, CASE WHEN n_deleted > 0 THEN kept ELSE s.text END AS text
+FROM documents s JOIN dc ON dc.doc_id IS NOT DISTINCT FROM s.doc_id AND dc.text IS NOT DISTINCT FROM s.text LEFT JOIN ou USING (d)"""

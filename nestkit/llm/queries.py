@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .lang_id import op5_lang_id
-from .line_dedup import op8_line_dedup
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
 from .pii import op7_pii
 from .sentencepiece_codec import op1_sentencepiece
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}

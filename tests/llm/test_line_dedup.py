@@ -1,8 +1,9 @@
 import random
 
+import duckdb
 import pytest
 
-from nestkit.llm.line_dedup import LINE_CHARS, dedup_lines
+from nestkit.llm.line_dedup import LINE_CHARS, OP8_SQL, dedup_lines
 
 from .cases import ROWS, documents, empty
 
@@ -84,3 +85,18 @@ def test_empty_and_bad_length(spark):
     assert dedup_lines(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         dedup_lines(empty(spark), min_lines=0)
+
+
+def sql(rows):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    if rows:
+        c.executemany("INSERT INTO documents VALUES (?, ?)", [list(r[:2]) for r in rows])
+    return sorted(c.execute(OP8_SQL).fetchall(), key=str)
+
+
+def test_sql_says_the_same():
+    rng = random.Random(4)
+    hot = [(i, "\n".join(rng.choice(["hot", "hot", "cold", "", "z " * LINE_CHARS, f"own {i} {k}"]) for k in range(12)), "en", "s", 1) for i in range(40)]
+    for rows in ([], ROWS, hot, hot + [(100 + i, hot[3][1], "en", "s", 1) for i in range(9)] + hot[:2]):
+        assert sql(rows) == brute(rows)
