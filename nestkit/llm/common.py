@@ -41,10 +41,12 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Bounds an Arrow batch by rows and by bytes, so that a Python worker's memory does not follow the texts' lengths.
-    These are settings of the session, read when a job starts."""
+    These are settings of the session, read when a job starts. What a function returns is not split: its batches are as
+    long as those it reads, or bounded by itself, and Spark 4.1.2 fails or repeats rows where it splits them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerOutputBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerOutputBatch", "-1")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", "-1")
 
 
 def _width(kind: T.DataType) -> int:

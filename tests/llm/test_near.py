@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from nestkit.llm.near import FIRST, RADIUS, SIMILAR, drop_near, link_prints, link_sets, near_components, shingles, wide_fingerprint
+from nestkit.llm.common import Scratch, small_batches
+from nestkit.llm.near import FIRST, RADIUS, SIMILAR, candidate_links, drop_near, link_prints, link_sets, near_components, shingles, wide_fingerprint
 
 import corpus_pipeline
 
@@ -125,3 +128,33 @@ def test_tiles_give_the_links_of_all_pairs():
     # Blocks are skipped by size, single pairs are not, so links of other sizes may come on top.
     for got in (classes(one), classes(split)):
         assert all(got[i] == got[want[i]] for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("sizes", [[40], [0, 21], [45, 45], [40, 0, 40]])
+def test_batches_of_any_length_come_back_once(spark, sizes):
+    """Batches above the bound of those that are read, with empty ones between, as tiles with many links and none give."""
+
+    def run(batches):
+        for _ in batches:
+            pass
+        for k, n in enumerate(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(range(100 * k, 100 * k + n), pa.int64())], ["a"])
+
+    small_batches(spark, rows=20)
+    got = spark.range(0, 1, 1, 1).mapInArrow(run, "a long").collect()
+    assert [r.a for r in got] == [100 * k + i for k, n in enumerate(sizes) for i in range(n)]
+
+
+def test_tiles_with_many_links_beside_tiles_without(spark):
+    """Cells of 2,500 equal fingerprints, more links than a batch has rows, and cells of one, all in one task."""
+    rows = [(5_000 * k + i, n, *[k] * 4) for k, n in enumerate([10, 40, 160, 640]) for i in range(2500 if k % 2 else 1)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        small_batches(spark)
+        scratch = Scratch(spark)
+        links = scratch.save(candidate_links(spark.createDataFrame(rows, "node long, n long, f0 long, f1 long, f2 long, f3 long"), scratch)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # Forests: each node but a root of its cell once.
+    assert len(links) == len({r.a for r in links}) == 2 * 2499 and all(r.a // 5_000 == r.b // 5_000 for r in links)
