@@ -14,6 +14,9 @@ an interval splits by the ranks of the next 2^k lines. All members of a part but
 the earliest along as a witness; the earliest itself searches on in the interval that it came from. The runs' lines,
 joined where runs overlap, are deleted, so of each run the first copy stays.
 
+A place in the corpus is one number: its document's in the order of ids, and the line's in the lower PLACE bits. So the
+earliest member of a part is the least number, and the rounds carry no ids or digests of documents.
+
 A run counts if it has MIN_LINES lines, or is a line of at least LINE_CHARS characters. Runs do not cross documents; blank
 lines are not part of the sequence and stay.
 """
@@ -31,6 +34,8 @@ MIN_LINES = 2
 LINE_CHARS = 50
 SPACES = " \t\n\x0b\f\r"
 KEY = ["d1", "d2"]
+#: Bits of a line's number in its document; a text of 2 GB has fewer lines with content. 33 bits are left for documents.
+PLACE = 30
 
 
 def _document(id_col: str, text_col: str) -> list[Column]:
@@ -38,6 +43,10 @@ def _document(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("d1"), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("d2")]
 
 
+def _line(pos: str) -> Column:
+    return F.col(pos).bitwiseAND(F.lit((1 << PLACE) - 1))
+
+
 def _offsets(sizes: DataFrame) -> DataFrame:
     """pid, before: how much lies in the partitions before each; sizes (pid, n) has one row a partition."""
     offsets, total = [], 0
@@ -55,19 +64,20 @@ def _starts(groups: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     return scratch.save(ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "pid").withColumn("rank", F.col("before") + F.col("inside")).drop("pid", "before", "inside"))
 
 
-def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """lines: d1, d2, id, idx, long, h1, h2 (the line). Returns those whose line repeats, with rank (its place in the
-    suffix array, equal for suffixes that end alike) and ranks (of each round k in which the next 2^k lines exist and
-    only hold repeated lines; equal ranks mean equal lines)."""
+def suffix_array(lines: DataFrame, numbers: DataFrame, scratch: Scratch) -> DataFrame:
+    """lines: d1, d2, idx, long, h1, h2 (the line); numbers: d1, d2, number. Returns those whose line repeats as pos (the
+    document's number and idx), long, rank (its place in the suffix array, equal for suffixes that end alike) and ranks (of
+    each round k in which the next 2^k lines exist and only hold repeated lines; equal ranks mean equal lines)."""
     groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
-    named = lines.join(scratch.small(_starts(groups, ["h1", "h2"], scratch)), ["h1", "h2"])
-    now = scratch.save(named.select(*KEY, "id", "idx", "long", "rank", F.array("rank").alias("ranks"), F.lit(True).alias("open")))
+    named = lines.join(_starts(groups, ["h1", "h2"], scratch), ["h1", "h2"]).select(*KEY, "idx", "long", "rank")
+    pos = F.shiftleft("number", PLACE) + F.col("idx")
+    now = scratch.save(named.join(numbers, KEY).select(pos.alias("pos"), "long", "rank", F.array("rank").alias("ranks"), F.lit(True).alias("open")))
     done, k = now.where("not open"), 0
     now = now.where("open")
     while now.limit(1).count():
         step = 1 << k
-        ahead = done.unionByName(now).select(*KEY, (F.col("idx") - step).alias("idx"), F.col("rank").alias("r2"), (F.size("ranks") == k + 1).alias("whole"))
-        pairs = now.withColumnRenamed("rank", "r1").join(ahead, [*KEY, "idx"], "left")
+        ahead = done.unionByName(now).where(_line("pos") >= step).select((F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"), (F.size("ranks") == k + 1).alias("whole"))
+        pairs = now.withColumnRenamed("rank", "r1").join(ahead, "pos", "left")
         pairs = scratch.save(pairs.withColumn("r2", F.coalesce("r2", F.lit(-1))).withColumn("whole", F.coalesce("whole", F.lit(False))))
         groups = _starts(pairs.groupBy("r1", "r2").agg(F.count("*").alias("c")), ["r1", "r2"], scratch)
         # A class of c suffixes owns c ranks from its own on, so ranks of different classes never meet.
@@ -75,7 +85,7 @@ def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
         groups = groups.join(base, "r1").select("r1", "r2", "c", (F.col("r1") + F.col("rank") - F.col("base")).alias("rank"))
         # A suffix that ends here takes part once more: it gets the class's first rank, before those that go on.
         found = F.when(F.col("whole"), F.concat("ranks", F.array("rank"))).otherwise(F.col("ranks"))
-        named = scratch.save(pairs.join(groups, ["r1", "r2"]).select(*KEY, "id", "idx", "long", "rank", found.alias("ranks"), (F.col("whole") & (F.col("c") > 1)).alias("open")))
+        named = scratch.save(pairs.join(groups, ["r1", "r2"]).select("pos", "long", "rank", found.alias("ranks"), (F.col("whole") & (F.col("c") > 1)).alias("open")))
         scratch.drop(pairs)
         done, now, k = done.unionByName(named.where("not open")), named.where("open"), k + 1
     return done.drop("open")
@@ -84,27 +94,26 @@ def suffix_array(lines: DataFrame, scratch: Scratch) -> DataFrame:
 def later_runs(suffixes: DataFrame, scratch: Scratch) -> DataFrame:
     """suffixes with lines: the length of the longest run from there on that has an earlier copy; only where there is one."""
     top = suffixes.agg(F.max(F.size("ranks"))).first()[0] or 0
-    place = F.struct("id", *KEY, "idx")
-    state = scratch.save(suffixes.select(*KEY, "id", "idx", "long", "ranks", F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(True).alias("seeks")))
+    state = scratch.save(suffixes.select("pos", "long", "ranks", F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(True).alias("seeks")))
     for k in range(top - 1, -1, -1):
-        ahead = suffixes.where(F.size("ranks") > k).select(*KEY, F.col("idx").alias("at"), F.get("ranks", F.lit(k)).alias("r"))
+        ahead = suffixes.where(F.size("ranks") > k).select(F.col("pos").alias("at"), F.get("ranks", F.lit(k)).alias("r"))
         here = state.where("lines = 0").withColumn("r", F.get("ranks", F.lit(k)))
-        beyond = state.where("lines > 0").withColumn("at", (F.col("idx") + F.col("lines")).cast("int")).join(ahead, [*KEY, "at"], "left").drop("at")
+        beyond = state.where("lines > 0").withColumn("at", F.col("pos") + F.col("lines")).join(ahead, "at", "left").drop("at")
         named = scratch.save(here.unionByName(beyond))
-        parts = named.where("r is not null").groupBy("c1", "c2", "r").agg(F.min(place).alias("first"), F.min_by("seeks", place).alias("first_seeks"), F.count_if("seeks").alias("seeking"), F.count("*").alias("c"))
+        parts = named.where("r is not null").groupBy("c1", "c2", "r").agg(F.min("pos").alias("first"), F.max(F.when(F.col("seeks"), F.col("pos"))).alias("last"), F.count("*").alias("c"))
         # A part matters if another member than its earliest seeks.
-        parts = parts.where("c > 1").select("c1", "c2", "r", "first", (F.col("seeking") > F.col("first_seeks").cast("int")).alias("goes"))
+        parts = parts.where("c > 1").select("c1", "c2", "r", "first", F.coalesce(F.col("last") > F.col("first"), F.lit(False)).alias("goes"))
         parts = scratch.save(parts)
         joined = named.join(scratch.small(parts), ["c1", "c2", "r"], "left")
-        earliest = place == F.col("first")
+        earliest = F.col("pos") == F.col("first")
         stay = F.struct(F.lit(0).alias("by"), F.col("c1").alias("n1"), F.col("c2").alias("n2"), F.col("seeks").alias("s"))
         down = lambda seeks, k=k: F.struct(F.lit(1 << k).alias("by"), F.xxhash64("c1", "c2", "r", F.lit(k)).alias("n1"), F.xxhash64(F.lit(1), "r", "c2", "c1", F.lit(k)).alias("n2"), seeks.alias("s"))
         none = F.filter(F.array(stay), lambda x: F.lit(False))
         moves = F.when(F.col("first").isNull(), F.array(stay)).when(earliest & F.col("goes"), F.array(stay, down(F.lit(False)))).when(earliest, F.array(stay)).when(F.col("goes"), F.array(down(F.col("seeks")))).otherwise(none)
-        moved = joined.select(*KEY, "id", "idx", "long", "ranks", "lines", F.explode(moves).alias("m"))
-        before, state = state, scratch.save(moved.select(*KEY, "id", "idx", "long", F.when((F.col("lines") + F.col("m.by")) == 0, F.col("ranks")).alias("ranks"), (F.col("lines") + F.col("m.by")).alias("lines"), F.col("m.n1").alias("c1"), F.col("m.n2").alias("c2"), F.col("m.s").alias("seeks")))
+        moved = joined.select("pos", "long", "ranks", "lines", F.explode(moves).alias("m"))
+        before, state = state, scratch.save(moved.select("pos", "long", F.when((F.col("lines") + F.col("m.by")) == 0, F.col("ranks")).alias("ranks"), (F.col("lines") + F.col("m.by")).alias("lines"), F.col("m.n1").alias("c1"), F.col("m.n2").alias("c2"), F.col("m.s").alias("seeks")))
         scratch.drop(before, named, parts)
-    return state.where("seeks and lines > 0").select(*KEY, "id", "idx", "long", "lines")
+    return state.where("seeks and lines > 0").select("pos", "long", "lines")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, line_chars: int = LINE_CHARS) -> DataFrame:
@@ -127,18 +136,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = lines.where("idx = 0").groupBy(*KEY).count().where("count > 1").select(*KEY)
     if repeated.limit(1).count():
         lines = lines.join(repeated, KEY, "left_anti").unionByName(lines.join(repeated, KEY, "left_semi").dropDuplicates([*KEY, "idx"]))
-    runs = later_runs(scratch.save(suffix_array(lines, scratch)), scratch)
+    # Null ids come first, rows of one id in the order of their digests.
+    numbers = _starts(lines.where("idx = 0").select("id", *KEY, F.lit(1).alias("c")), ["id", *KEY], scratch).select(*KEY, F.col("rank").alias("number"))
+    runs = later_runs(scratch.save(suffix_array(lines, numbers, scratch)), scratch)
+    runs = runs.select(F.shiftright("pos", PLACE).alias("number"), _line("pos").cast("int").alias("idx"), "long", "lines")
     # The end of the run that counts from each line on, and how far the runs before it reach.
     end = F.when(F.col("lines") >= min_lines, F.col("idx") + F.col("lines")).when(F.col("long"), F.col("idx") + 1)
     runs = runs.withColumn("end", end.cast("int")).where("end is not null")
-    reached = F.max("end").over(Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    reached = F.max("end").over(Window.partitionBy("number").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("from", F.greatest("idx", F.coalesce(reached, F.lit(0))))
     places = F.when(F.col("from") < F.col("end"), F.sequence("from", F.col("end") - 1)).otherwise(F.array().cast("array<int>"))
-    found = runs.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list(places))).alias("gone"), F.max(F.col("end") - F.col("idx")).cast("long").alias("longest"))
-    found = scratch.save(found)
+    found = runs.groupBy("number").agg(F.sort_array(F.flatten(F.collect_list(places))).alias("gone"), F.max(F.col("end") - F.col("idx")).cast("long").alias("longest"))
+    found = scratch.save(found.join(numbers, "number").drop("number"))
     scratch.only(found)
-    # Small results go to the texts; else texts and results meet by document.
-    out = keyed.join(scratch.small(found), KEY, "left").withColumn("all", F.split("text", "\n", -1))
+    # Texts and results meet by document, at every size alike. A task hashes its share of the results; texts are not sorted.
+    out = keyed.join(found.hint("shuffle_hash"), KEY, "left").withColumn("all", F.split("text", "\n", -1))
     # ls: all lines; ps: places of those with content; then the places that stay. Each is bound once, and every step
     # takes time in proportion to the lines.
     filled = r"btrim(x, ' \t\n\u000b\f\r') != ''"

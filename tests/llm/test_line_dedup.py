@@ -87,6 +87,22 @@ def test_empty_and_bad_length(spark):
         dedup_lines(empty(spark), min_lines=0)
 
 
+def test_one_plan_at_every_size(spark):
+    """Texts and results meet in the way that large tables take, for small ones too, and texts are not sorted for it."""
+    rows = [(i, "\n".join(["head", "a", "b", "c", f"tail {i}"]), "en", "s", 1) for i in range(30)]
+    plan = dedup_lines(documents(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "Sort " not in plan
+
+
+def test_ids_order_copies(spark):
+    """Negative, null and repeated ids: the first copy is that of the null id, then of the smallest."""
+    run = "one repeated line\nanother repeated line"
+    rows = [(5, run + "\nv", "en", "s", 1), (-7, run + "\nw", "en", "s", 1), (None, "x\n" + run, "en", "s", 1), (-7, "own", "en", "s", 1), (5, run + "\nv", "en", "s", 1)]
+    got = values(dedup_lines(documents(spark, rows)))
+    assert got == brute(rows)
+    assert [r[2] for r in got if r[0] is None] == [0] and [r[2] for r in got if r[0] == 5] == [2, 2]
+
+
 def sql(rows):
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
