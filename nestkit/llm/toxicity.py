@@ -30,6 +30,8 @@ FEATURES = 2_000
 EVIDENCE, LEAST_DOCS = 10.0, 3
 PENALTY, SWAP_PENALTY, STEPS = 1e-4, 10.0, 400
 REMEMBERED = 300_000
+#: Words that fit() counts at a time.
+WORDS = 250_000
 STRIP = ".,;:!?\"'()[]{}<>*&%$#|~`“”„«»…-–—"
 #: Neutral names of groups; a term is swapped for the next of its line.
 IDENTITY = [
@@ -118,27 +120,62 @@ def _blocks(vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, str]]:
         yield np.where(lengths > k, short.indices.to_numpy(zero_copy_only=False), -1), short.dictionary, "^"
 
 
-def _flat(column: pa.ChunkedArray, encoded: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Row and word number of each word of a column of lists, and the words; with encoded, numbers in that vocabulary."""
-    rows = column.combine_chunks()
-    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-    words = rows.flatten()
-    if encoded is None:
-        words = words.dictionary_encode()
-        return np.repeat(np.arange(len(rows)), sizes), words.indices.to_numpy(zero_copy_only=False), words.dictionary
-    return np.repeat(np.arange(len(rows)), sizes), pc.fill_null(pc.index_in(words, encoded), -1).to_numpy(zero_copy_only=False), encoded
+def _words_in(column: pa.ChunkedArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of each row of a column of lists end, and the words' numbers in the vocabulary (-1: not there)."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.cumsum(sizes, dtype=np.int64), pc.fill_null(pc.index_in(pc.list_flatten(column), vocabulary), -1).to_numpy()
+
+
+def _pairs(ends: np.ndarray, word: np.ndarray, of_word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature and row of what each row holds, once, by runs of rows of about WORDS words."""
+    sizes, at = np.diff(ends, prepend=0), 0
+    while at < len(ends):
+        start = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + WORDS, "right")))
+        f = of_word[word[start : ends[to - 1]]]
+        row = np.repeat(np.arange(to - at), sizes[at:to])
+        pairs = np.unique(f[f >= 0].astype(np.int64) * (to - at) + row[f >= 0])
+        yield pairs // (to - at), pairs % (to - at) + at
+        at = to
+
+
+def _by_feature(ends: np.ndarray, word: np.ndarray, of_word: np.ndarray, features: int) -> list[np.ndarray]:
+    """The rows that hold each of the features."""
+    feature, row = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*_pairs(ends, word, of_word)) if len(ends) else ((), ())))
+    order = np.argsort(feature, kind="stable")
+    return np.split(row[order], np.searchsorted(feature[order], np.arange(1, features))) if features else []
+
+
+class Sparse:
+    """A matrix by its entries; those of one place add up."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int], value: np.ndarray | None = None):
+        self.row, self.column, self.shape, self.value = row, column, shape, value
+
+    def _sums(self, of: np.ndarray, at: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(to, weights=of[at] if self.value is None else of[at] * self.value, minlength=size)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self._sums(v, self.column, self.row, self.shape[0])
+
+    def turned_times(self, v: np.ndarray) -> np.ndarray:
+        return self._sums(v, self.row, self.column, self.shape[1])
 
 
 def fit(rows: pa.Table) -> Model:
     """rows: words (of each text, once), swapped (the words after the swap; null where nothing was swapped), term (the
-    inserted one; null where the text has its own), label."""
+    inserted one; null where the text has its own), label.
+
+    This runs on the driver: words become numbers at once, documents are counted run by run, and the matrices are held by
+    their entries, so that besides rows it needs some tens of MB at SAMPLE documents."""
     y = rows["label"].to_numpy().astype(np.float64)
     n, pos = len(y), float(y.sum())
     if not n or pos in (0.0, float(n)):
         return Model({}, 35.0 if n and pos else -35.0)
-    row, word, vocabulary = _flat(rows["words"])
+    vocabulary = pc.unique(pc.list_flatten(rows["words"]))
+    ends, word = _words_in(rows["words"], vocabulary)
     moved = np.nonzero(rows["swapped"].is_valid().to_numpy())[0]
-    swap_row, swap_word, _ = _flat(rows["swapped"], vocabulary)
+    swaps = _words_in(rows["swapped"], vocabulary)
     p = pos / n
 
     def part(observed, expected):
@@ -147,60 +184,63 @@ def fit(rows: pa.Table) -> Model:
     shared = {f for w in TERMS for f in word_features(w)}
     found: list[tuple[float, str, np.ndarray, np.ndarray]] = []  # evidence, name, documents with it, documents with it after a swap
     for of_word, texts, mark in _blocks(vocabulary):
-        f = of_word[word]
-        pairs = np.unique(f[f >= 0].astype(np.int64) * n + row[f >= 0])
-        feature, doc = pairs // n, pairs % n
-        has = np.bincount(feature, minlength=len(texts)).astype(float)
-        both = np.bincount(feature, weights=y[doc], minlength=len(texts))
+        has, both = np.zeros(len(texts)), np.zeros(len(texts))
+        for feature, doc in _pairs(ends, word, of_word):
+            has += np.bincount(feature, minlength=len(texts))
+            both += np.bincount(feature, weights=y[doc], minlength=len(texts))
         evidence = 2 * (part(both, has * p) + part(has - both, has * (1 - p)) + part(pos - both, (n - has) * p) + part(n - has - pos + both, (n - has) * (1 - p)))
         good = (evidence >= EVIDENCE) & (has >= LEAST_DOCS)
         # Features of identity terms are always there, for the penalty to act on.
         forced = pc.is_in(texts, pa.array([f[1:] for f in sorted(shared) if f[0] == mark], texts.type)).to_numpy(zero_copy_only=False)
-        swap_f = np.where(swap_word >= 0, of_word[np.maximum(swap_word, 0)], -1)
         best = np.nonzero(good)[0]
         best = best[np.argsort(-evidence[best], kind="stable")][: FEATURES]
-        for i in sorted({*best.tolist(), *np.nonzero(forced)[0].tolist()}):
-            docs = doc[np.searchsorted(feature, i) : np.searchsorted(feature, i, "right")]
-            after = np.unique(swap_row[swap_f == i]) if len(moved) else np.zeros(0, int)
-            found.append((np.inf if forced[i] else round(float(evidence[i]), 6), mark + texts[i].as_py(), docs, after))
+        chosen = np.array(sorted({*best.tolist(), *np.nonzero(forced)[0].tolist()}), np.int64)
+        place = np.full(len(texts) + 1, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        # A word that is not in the vocabulary has the number -1, and so has a word without this feature: both are last here.
+        of_word = place[np.append(of_word, -1)]
+        docs, after = (_by_feature(*side, of_word, len(chosen)) for side in ((ends, word), swaps))
+        for k, i in enumerate(chosen.tolist()):
+            found.append((np.inf if forced[i] else round(float(evidence[i]), 6), mark + texts[i].as_py(), docs[k], after[k]))
     found.sort(key=lambda f: (-f[0], f[1]))
     found = sorted((f for k, f in enumerate(found) if k < FEATURES or f[0] == np.inf), key=lambda f: f[1])
-    x = np.zeros((n, len(found) + 1), np.float32)
-    x[:, -1] = 1
-    for k, (_, _, docs, _) in enumerate(found):
-        x[docs, k] = 1
+    row, column = np.concatenate([*(f[2] for f in found), np.arange(n)]), np.repeat(np.arange(len(found) + 1), [*(len(f[2]) for f in found), n])
+    x = Sparse(row, column, (n, len(found) + 1))
     # Only features of identity terms change by a swap or an insertion.
     own = np.array([k for k, f in enumerate(found) if f[0] == np.inf], np.int64)
     place = {found[k][1]: c for c, k in enumerate(own.tolist())}
-    real = np.zeros((len(moved), len(own)), np.float32)
+    held, swapped = np.zeros((n, len(own)), np.int8), np.zeros((n, len(own)), np.int8)
     for c, k in enumerate(own.tolist()):
-        real[np.isin(moved, found[k][3]), c] = 1
+        held[found[k][2], c] = 1
+        swapped[found[k][3], c] = 1
     terms = rows["term"].to_pylist()
     added = np.array([r for r, t in enumerate(terms) if t is not None], np.int64)
-    has, after = np.zeros((len(added), len(own)), np.float32), np.zeros((len(added), len(own)), np.float32)
+    has, after = np.zeros((len(added), len(own)), np.int8), np.zeros((len(added), len(own)), np.int8)
     columns = {t: [[place[f] for f in word_features(w) if f in place] for w in (t, SWAP[t])] for t in {t for t in terms if t is not None}}
     for r, at in enumerate(added.tolist()):
         with_term, with_swap = columns[terms[at]]
         has[r, with_term] = 1
         after[r, with_swap] = 1
-    free = 1 - x[np.ix_(added, own)]
-    change = np.concatenate([real - x[np.ix_(moved, own)], (after - has) * free, has * free])
+    free = 1 - held[added]
+    change = np.concatenate([swapped[moved] - held[moved], (after - has) * free, has * free])
+    shape, (row, column) = change.shape, np.nonzero(change)
+    change = Sparse(row, column, shape, change[row, column].astype(np.float64))
     # Accelerated gradient steps; the loss is convex and smooth.
     ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 0
     # The steepest curvature, by power iteration from a start that no swap is orthogonal to.
     power = np.random.default_rng(0).standard_normal(x.shape[1])
     for _ in range(60):
-        at = power.astype(np.float32)
-        power = x.T @ (x @ at) / (4 * n) + ridge * power
-        power[own] += SWAP_PENALTY * 2 * change.T @ (change @ at[own]) / max(1, len(change))
+        at = power
+        power = x.turned_times(x.times(at)) / (4 * n) + ridge * at
+        power[own] += SWAP_PENALTY * 2 * change.turned_times(change.times(at[own])) / max(1, change.shape[0])
         top = float(np.linalg.norm(power))
         power /= top
     w, v, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     for _ in range(STEPS):
-        miss = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32), -35, 35))) - y
-        grad = x.T @ miss.astype(np.float32) / n + ridge * v
-        grad[own] += SWAP_PENALTY * 2 * change.T @ (change @ v[own].astype(np.float32)) / max(1, len(change))
+        miss = 1 / (1 + np.exp(-np.clip(x.times(v), -35, 35))) - y
+        grad = x.turned_times(miss) / n + ridge * v
+        grad[own] += SWAP_PENALTY * 2 * change.turned_times(change.times(v[own])) / max(1, change.shape[0])
         new = v - grad / (1.1 * top)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / nt * (new - w), new, nt
@@ -234,7 +274,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # In a fixed order, so that reruns agree.
     rows = got.toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     scratch.only()
-    return fit(rows)
+    model = fit(rows)
+    # What Arrow keeps for later would stay with the driver through all that follows.
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scorer(docs: DataFrame, model: Model):

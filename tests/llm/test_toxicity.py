@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from nestkit.llm.toxicity import PENALTY, SWAP, SWAP_PENALTY, TERMS, fit, held_out, inserted_term, labelled, op6_toxicity, reject_toxic, score_toxicity, swapped_words, train, word_features, words_of
+from nestkit.llm.toxicity import PENALTY, SAMPLE, SWAP, SWAP_PENALTY, TERMS, fit, held_out, inserted_term, labelled, op6_toxicity, reject_toxic, score_toxicity, swapped_words, train, word_features, words_of
 
 from .cases import ROWS, documents, empty
 
@@ -102,6 +103,28 @@ def test_reruns_agree():
     assert fit(rows).weights == fit(rows).weights
 
 
+def test_memory_of_the_fit():
+    """The driver fits, so a whole sample must not take hundreds of MB there."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in row) + (" vilebeast" if i % 2 else "") for i, row in enumerate(rng.integers(0, 5_000, (SAMPLE, 300)).tolist())]
+    rows = labelled(texts, [i % 2 for i in range(SAMPLE)])
+    tracemalloc.start()
+    model = fit(rows)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert model.score("a vilebeast") > 0.5 > model.score("a house") and peak < 40
+
+
+def test_words_are_counted_run_by_run(monkeypatch):
+    from nestkit.llm import toxicity
+
+    texts, labels = sample()
+    rows = labelled(["", None, *texts], [0, 1, *labels])
+    whole = fit(rows)
+    monkeypatch.setattr(toxicity, "WORDS", 7)  # fewer than a text has
+    assert fit(rows).weights == whole.weights
+
+
 def test_frames(spark):
     texts, labels = sample(120)
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
