@@ -182,3 +182,30 @@ def test_against_a_stack_walker(spark, values):
             if s[3] is not None:
                 assert (r.parent.key, r.parent.ord) == (by_open[s[3]].key, by_open[s[3]].ord)
         assert json.loads(nodes[0].json) == values[d]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_brackets_are_not_rows_of_a_plan(spark, strict):
+    """One window, over whole texts, shows that a key is one document's. Nothing is sorted or exchanged for nodes."""
+    frame = spark.createDataFrame([(1, "{}")], "d int, t string")
+    for nodes in (unrolled(frame, "d", "t", 3, strict=strict), parser(frame, "d", "t", 3, strict=strict)):
+        plan = nodes._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window [") == plan.count("Sort [") == plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_pieces_do_not_change_nodes(spark, monkeypatch):
+    """Texts taken a few bytes at a time and rows given out one by one make the same nodes."""
+    import pyarrow as pa
+
+    from nestkit.operators import scan
+
+    texts = pa.record_batch({"d": [1, 2, 3, 4], "t": ['{"a":[1,{"b":"é"}]}', None, "]{[}", '[[{"x":1}],{},{"#":{"y":2},"#":#}]']})
+    names = ["at", "depth", "slot", "open", "close", "key", "ord", "json", "parent"]
+
+    def run():
+        return [r for b in scan.flat(["d"], "t", [("[", "]"), ("{", "}")], 9, False, names)(iter([texts])) for r in b.to_pylist()]
+
+    whole = run()
+    monkeypatch.setattr(scan, "PIECE", 1)
+    monkeypatch.setattr(scan, "OUT", 1)
+    assert run() == whole and len(whole) > 8
