@@ -1,7 +1,8 @@
 """Positions of matches, nesting depth and paired levels.
 
-Every operator keeps the documents' key columns and works within a document, so one hash exchange on that key serves
-the whole chain.
+Every operator keeps the documents' key columns and works within a document. Those of documents (contained()) need no
+exchange, since a text's brackets and levels follow from the text alone (scan.py); those of tables of characters take one
+hash exchange on the key for the whole chain.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
+
+from . import scan
 
 Pairs = Sequence[tuple[str, str]]
 PAIRS: Pairs = (("[", "]"), ("{", "}"))
@@ -42,11 +46,25 @@ def object_containment(chars: DataFrame, by: Sequence[str], pairs: Pairs = PAIRS
     total = sum(depths[1:], depths[0]) - 1
     step = F.when(F.col("sub").isin([o for o, _ in pairs]), 1).otherwise(-1)
     rows = chars.select(*by, "idx", "sub", total.alias("total"), F.array(*depths).alias("depths"), step.alias("step"))
+    return _roles(rows, by)
+
+
+def _roles(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     # In a step of its own: a generator next to windows would run before them.
     rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("r"))
     return rows.select(*by, "idx", "sub", (F.col("total") - F.col("step") + F.col("r")).alias("pre"), (F.col("total") + F.col("r")).alias("depth"), "depths", (F.col("r") == 0).alias("raise"))
 
 
+def contained(docs: DataFrame, by: Sequence[str], text: str, pairs: Pairs = PAIRS) -> DataFrame:
+    """object_containment() of all brackets of texts, without a table of characters in between."""
+    depths = [f"_depth{i}" for i in range(len(pairs))]
+    kinds = [("idx", "bigint"), ("sub", "string"), ("total", "bigint"), ("step", "int"), *[(d, "bigint") for d in depths]]
+    docs = docs.select(*by, text)
+    schema = Y.StructType([*[docs.schema[c] for c in by], *[Y.StructField(n, Y.DataType.fromDDL(k)) for n, k in kinds]])
+    rows = docs.mapInArrow(scan.contained(list(by), text, list(pairs)), schema)
+    return _roles(rows.withColumn("depths", F.array(*depths)), by)
+
+
 def object_boundaries(contained: DataFrame, by: Sequence[str], pick: int | None) -> DataFrame:
     """by, pre, depth, raise, slot, open, close, nest: the k-th opening bracket of a level paired with the k-th closing
     one; levels beyond pick are dropped before anything is paired, and without pick there are none."""

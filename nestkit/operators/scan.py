@@ -507,21 +507,18 @@ def packed(keep: Sequence[str], text: str, pairs, pick: int, strict: bool, names
 
 
 def contained(by: Sequence[str], text: str, pairs):
-    """A function of Arrow batches: by, idx, sub, total (the level behind the bracket, from -1), depths and step, one row
-    a bracket."""
+    """A function of Arrow batches: by, idx, sub, total (the level behind the bracket, from -1), step and one depth a pair,
+    one row a bracket."""
 
     def run(batches):
         for batch in batches:
             for docs in _pieces(batch, text):
                 b = Brackets(docs.column(text), pairs)
-                chars, steps = pa.array(["", *b.chars], pa.string()), pa.array(np.where(b.opens, 1, -1).astype(np.int32))
-                depths = np.stack(b.levels, 1)
+                chars, step = pa.array(["", *b.chars], pa.string()), np.where(b.opens, 1, -1).astype(np.int32)
                 for rows in _parts(np.zeros(len(b.p), np.int64)):
                     owner = pa.array(b.doc[rows])
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (rows.stop - rows.start + 1) * len(pairs), len(pairs), dtype=np.int32)), pa.array(depths[rows].ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [*[docs.column(c).take(owner) for c in by], pa.array(b.place[rows]), chars.take(pa.array(b.kind[rows])), pa.array(b.total[rows] - 1), lists, steps[rows.start : rows.stop]],
-                        names=[*by, "idx", "sub", "total", "depths", "step"],
-                    )
+                    numbers = [b.total[rows] - 1, step[rows], *[d[rows] for d in b.levels]]
+                    columns = [*[docs.column(c).take(owner) for c in by], pa.array(b.place[rows]), chars.take(pa.array(b.kind[rows])), *map(pa.array, numbers)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*by, "idx", "sub", "total", "step", *[f"_depth{i}" for i in range(len(pairs))]])
 
     return run

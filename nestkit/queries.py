@@ -132,18 +132,13 @@ def object_interface(spark, d):
     return rows.select("doc", record.alias("r")).select("doc", "r.*").withColumns(empty)
 
 
-def _contained(spark, d) -> DataFrame:
-    docs = _masked_orders(spark, d).select("doc", T.fence("text").alias("text"))
-    return levels.object_containment(levels.character_indices(docs, ["doc"], "text", levels.bracket_pattern()), ["doc"])
-
-
 def containment(spark, d):
-    rows = _contained(spark, d)
+    rows = levels.contained(_fenced_orders(spark, d), ["doc"], "text")
     return rows.select("doc", "idx", "sub", "pre", "depth", F.get("depths", F.lit(0)).alias("in_arrays"), F.get("depths", F.lit(1)).alias("in_objects"), "raise")
 
 
 def boundaries(spark, d):
-    return levels.object_boundaries(_contained(spark, d), ["doc"], 2)
+    return nodes.boundaries(_fenced_orders(spark, d), ["doc"], "text", 2)
 
 
 def metadata(spark, d):

@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nestkit.operators.levels import bracket_pattern, character_indices, object_boundaries, object_containment
-from nestkit.operators.nodes import unroller
+from nestkit.operators.levels import bracket_pattern, character_indices, contained, object_boundaries, object_containment
+from nestkit.operators.nodes import boundaries, unroller
 from nestkit.plans.unroll import parser, unrolled
 
 
@@ -209,3 +209,17 @@ def test_pieces_do_not_change_nodes(spark, monkeypatch):
     monkeypatch.setattr(scan, "PIECE", 1)
     monkeypatch.setattr(scan, "OUT", 1)
     assert run() == whole and len(whole) > 8
+
+
+@pytest.mark.parametrize("pairs", [[("[", "]"), ("{", "}")], [("«", "»"), ("{", "}")]])
+def test_levels_of_texts_equal_those_of_characters(spark, pairs):
+    texts = ['{"a":[1,{"é":[]}]}', "]{[}", None, "", "é«{»}{«»«", "}}{{", "[[]]]"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "d int, t string")
+    chars = object_containment(character_indices(frame, ["d"], "t", bracket_pattern(pairs)), ["d"], pairs)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    got = contained(frame, ["d"], "t", pairs)
+    assert plain(got) == plain(chars) and got.schema.simpleString() == chars.schema.simpleString()
+    for pick in (None, 0, 2, 9):
+        want, found = object_boundaries(chars, ["d"], pick), boundaries(frame, ["d"], "t", pick, pairs)
+        assert plain(found) == plain(want) and found.schema.simpleString() == want.schema.simpleString()
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
