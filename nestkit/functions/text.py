@@ -87,7 +87,12 @@ def fix_tuples(text: Column | str) -> Column:
 
 def mask(value: Column | str, strict: bool = False) -> Column:
     """Serialised, guarded and with names everywhere: the text that unrolling starts from."""
-    return fix_tuples(guard_quoted(json_text(value), True, strict))
+    guarded = guard_quoted(json_text(value), True, strict)
+    if strict:
+        return fix_tuples(guarded)
+    # In JSON with guarded texts each colon follows a quote, so that without an empty name there is nothing to fold, and
+    # no bare name that folding would leave.
+    return F.when(F.contains(guarded, F.lit('"":')), fix_tuples(guarded)).otherwise(guarded)
 
 
 def fence(text: Column | str, strict: bool = False) -> Column:

@@ -90,3 +90,14 @@ def test_fence_equals_the_plain_pattern(spark, texts):
         assert r.f == plain.sub(r'"#":{\1},"#":#', r.t)
         if "#" not in r.t:
             assert r.u == r.t
+
+
+def test_names_are_fixed_only_where_one_is_empty(spark):
+    """mask() skips two patterns over the text where no name is empty, with the same result."""
+    names = ["a", "", "x:y", "{b", "c ,d", 'e"', "f\\", '":', "g, h :"]
+    maps = [dict(zip(names[i:] + names[:i], ['', '":', "{p: 1, q :2}", ', r :', '"', "\\", "[1,s:", None, "é"])) for i in range(len(names))] + [{"": "a"}, {"a": '"":'}, {}]
+    frame = spark.createDataFrame([(m,) for m in maps], "m map<string,string>").select("m", F.map_keys("m").alias("k"), F.map_entries("m").alias("e"), F.create_map(F.lit(""), F.lit(1.5)).alias("n"), F.lit(7).alias("i"), F.lit(",t :").alias("s"))
+    for c in (*frame.columns, F.struct("m", "e", "n")):
+        got = frame.select(T.mask(c).alias("got"), T.fix_tuples(T.guard_quoted(T.json_text(c))).alias("want"))
+        assert "contains(" in got._jdf.queryExecution().analyzed().toString().lower()
+        assert all(r.got == r.want for r in got.collect())
